@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,17 @@ def words(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of data, and the place of every word of data among them."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~_SPACES[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    ends = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)

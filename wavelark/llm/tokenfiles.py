@@ -43,8 +43,10 @@ FRAME = 1 << 18
 VOCABULARY = 1_000_000
 #: A word of its own that stands between words encoded together.
 MARK = b"\x01"
+#: Stands for the end of a document; no UTF-8 text has this byte.
+STOP = b"\xff"
 #: Bytes of text encoded together.
-BATCH = 4 << 20
+BATCH = 8 << 20
 END_ID = 1
 
 
@@ -63,43 +65,45 @@ class WordEncoder:
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.starts = np.zeros(1, np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        # no word holds white space, so a line end can stand for the end of a document
-        self.place, self.sizes, self.flat = {b"\n": 0}, np.array([1]), np.array([self.end_id], self.kind)
+        self.place, self.sizes, self.flat = {STOP: 0}, np.array([1]), np.array([self.end_id], self.kind)
 
     def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and how many each has; words are encoded hundreds at a time, a mark after each."""
-        lines = [b"".join(w + b" " + MARK + b" " for w in words[a : a + 500]).decode() for a in range(0, len(words), 500)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], self.kind)
+        between = b" " + MARK + b" "
+        lines = [(between.join(words[a : a + 500]) + between).decode() for a in range(0, len(words), 500)]
+        ids = np.concatenate([np.zeros(0, self.kind), *(np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))])
         at = np.flatnonzero(ids == self.mark) if self.mark is not None else np.zeros(0, np.int64)
         return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many belong to each text."""
-        words, ends = [], []
-        for text in texts:
-            words += (text or "").encode("utf-8", "surrogatepass").split()
-            words.append(b"\n")
-            ends.append(len(words))
+    def _learn(self, new: list[bytes]) -> None:
+        # words that hold the mark come last, and are encoded one by one
+        marked = [w for w in new if MARK in w] if self.mark is not None else new
+        new = [w for w in new if MARK not in w] + marked if self.mark is not None else new
+        n = len(new) - len(marked)
+        ids, sizes = self._marked(new[:n])
+        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new[n:]], add_special_tokens=False)]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter((i for ids in found for i in ids), self.kind)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8), and how many belong to each; the end id closes each."""
+        if not texts:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        words, codes = common.distinct_words(b"".join([t + b" " + STOP + b" " for t in texts]))
         if len(self.place) > VOCABULARY:
             self._forget()
-        new = [w for w in set(words) if w not in self.place]
-        if new:
-            new.sort(key=lambda w: MARK in w)  # words that hold the mark come last, and are encoded one by one
-            n = next((i for i, w in enumerate(new) if MARK in w), len(new)) if self.mark is not None else 0
-            ids, sizes = self._marked(new[:n])
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new[n:]], add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, found), np.int64, len(found))])
-            self.flat = np.concatenate([self.flat, ids, np.fromiter((i for ids in found for i in ids), self.kind)])
-        starts = np.cumsum(self.sizes) - self.sizes
-        codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self._learn([w for w in words if w not in self.place])
+        codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[codes]
         sizes = self.sizes[codes]
         upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts[codes] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, np.diff(upto[np.array(ends, np.int64) - 1], prepend=0) if ends else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.starts[codes] - upto + sizes, sizes) + np.arange(upto[-1])]
+        return ids, np.diff(upto[codes == 0], prepend=0)
 
 
 @functools.cache
@@ -223,7 +227,7 @@ def write(docs: DataFrame, tokenizer: str, directory: str | None = None) -> Data
     directory = directory or common.scratch_dir(docs.sparkSession, "tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"), F.octet_length(text).cast("bigint").alias("size"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", "size")
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", F.col("text").cast("binary").alias("text"), "size")
     files = common.written(rows.mapInArrow(_writer(directory, tokenizer), _FILES), "token-files").toPandas().sort_values("part")
     # a row for each file: where its first document begins among all ids
     files["start"] = files["n_tokens"].cumsum() - files["n_tokens"]
