@@ -17,7 +17,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,11 @@ from . import common
 #: Bytes of context; a gram of DEPTH + 1 bytes fills 48 bits, which leaves 16 for a position in a chunk.
 DEPTH = 5
 #: Bytes of text whose distinct grams are gathered together.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 CHUNK = 1 << 16
 END = b"\n"
+#: Stands for END where words are split; no UTF-8 text has this byte.
+_STOP = b" \xff "
 _MASK = (1 << 8 * (DEPTH + 1)) - 1
 _LEVELS = "key int, n0 double, n1 double, weighted double"
 _BLOB = "kind string, part int, block string, keys binary, counts binary"
@@ -137,15 +138,23 @@ def _by_part(part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n + 1))
 
 
+def _coded_words(docs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The sorted distinct tokens, the place of each token among them, and where each document's tokens begin."""
+    names, codes = common.distinct_words(b"".join([doc[:-1] + _STOP for doc in docs]))
+    names[names.index(_STOP.strip())] = END
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    codes = place[codes]
+    ends = np.flatnonzero(codes == place[names.index(END)])
+    return [names[i] for i in order], codes, np.concatenate([[0], ends[:-1] + 1])
+
+
 def _distinct_words(docs: list[bytes], held: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    train: Counter = Counter()
-    seen: set = set()
-    for doc, h in zip(docs, held, strict=True):
-        tokens = doc[:-1].split(b" ") if len(doc) > 1 else []
-        tokens.append(END)
-        seen.update(tokens) if h else train.update(tokens)
-    vocabulary = sorted(seen.union(train))
-    return vocabulary, np.fromiter(map(train.__getitem__, vocabulary), np.int64, len(vocabulary))
+    """The sorted distinct tokens of all documents, and their counts in those not held out."""
+    names, codes, starts = _coded_words(docs)
+    learned = np.repeat(~held, np.diff(np.append(starts, len(codes))))
+    return names, np.bincount(codes[learned], minlength=len(names))
 
 
 def _word_part(vocabulary: list[bytes], n: int) -> np.ndarray:
@@ -369,16 +378,13 @@ def _score(n: int, tokens: int, distinct: int, names: list[str]):
             values = np.empty(len(gram))
             values[(packed & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(log[np.searchsorted(keys, gram[first])], np.diff(np.r_[first, len(gram)]))
             np.add.at(score, who, np.add.reduceat(values, np.cumsum([0, *sizes[:-1]])))
-        vocabulary, _ = _distinct_words(docs, held)
+        vocabulary, codes, starts = _coded_words(docs)
         order, _ = _by_part(_word_part(vocabulary, n), n)
         counts = np.empty(len(vocabulary), np.int64)
         counts[order] = np.concatenate([_unpack(b, np.int64) for b in pdf.loc[pdf["kind"] == "word", "keys"]])
-        unigram, place = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1))), {w: i for i, w in enumerate(vocabulary)}
-        base, known, length = np.zeros(len(docs)), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-        for i, doc in enumerate(docs):
-            codes = [place[w] for w in doc[:-1].split(b" ")] if len(doc) > 1 else []
-            codes.append(place[END])
-            base[i], known[i], length[i] = unigram[codes].sum(), (counts[codes] > 0).sum(), len(codes)
+        unigram = np.log10((counts + 0.1) / (tokens + 0.1 * (distinct + 1)))
+        base, known = np.add.reduceat(unigram[codes], starts), np.add.reduceat((counts > 0).astype(np.int64)[codes], starts)
+        length = np.diff(np.append(starts, len(codes)))
         out = pd.DataFrame({"doc_id": table.column("id").to_pandas(integer_object_nulls=True), "held_out": held, "n_tokens": length, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score, "n_bytes": [len(d) for d in docs], "bits_per_byte": -score / np.log10(2) / [len(d) for d in docs]})
         return out[names]
 
