@@ -56,9 +56,9 @@ def _query(sql: str | None):
     return add
 
 
-def _scalars(name: str, source: Callable[[SparkSession, str], DataFrame], table: str, columns: dict[str, tuple[Column, str]]) -> None:
+def _scalars(name: str, source: Callable[[SparkSession, str], DataFrame], table: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """A query of column functions over every row of a view."""
-    f = lambda spark, sf_dir: source(spark, sf_dir).select("seq", *(c.alias(k) for k, (c, _) in columns.items()))
+    f = lambda spark, sf_dir: source(spark, sf_dir).select("seq", *(c().alias(k) for k, (c, _) in columns.items()))
     _found[name] = (f, f"SELECT seq, {', '.join(f'{sql} AS {k}' for k, (_, sql) in columns.items())} FROM {table}")
 
 
@@ -282,10 +282,10 @@ def crc_rows(spark, sf_dir):
 
 # scalar functions
 
-_scalars("logic_not", events, _EVENTS, {"r": (logic.invert("bits"), "translate(bits, '01z', '10x')")})
-_scalars("slice_project", events, _EVENTS, {**{n: (logic.slice_bits("bits", o, w), f"substr(bits, {16 - o - w + 1}, {w})") for n, o, w in FIELDS}, "beyond": (logic.slice_bits("bits", 12, 8), "'xxxx' || left(bits, 4)")})
-_scalars("two_state_filter", events, _EVENTS, {"two_state": (logic.is_two_state("bits"), "NOT regexp_matches(bits, '[xz]')")})
-_scalars("planes", events, _EVENTS, {"a": (logic.aval("bits"), "translate(bits, 'xz', '10')"), "b": (logic.bval("bits"), "translate(bits, '01xz', '0011')"), "back": (logic.from_planes(logic.aval("bits"), logic.bval("bits")), "bits"), "a0": (F.get(logic.plane_words(logic.aval("bits")), F.lit(0)), "list_sum([substr(translate(bits, 'xz', '10'), 16 - i, 1)::BIGINT << i FOR i IN range(16)])::BIGINT")})
+_scalars("logic_not", events, _EVENTS, {"r": (lambda: logic.invert("bits"), "translate(bits, '01z', '10x')")})
+_scalars("slice_project", events, _EVENTS, {**{n: (lambda o=o, w=w: logic.slice_bits("bits", o, w), f"substr(bits, {16 - o - w + 1}, {w})") for n, o, w in FIELDS}, "beyond": (lambda: logic.slice_bits("bits", 12, 8), "'xxxx' || left(bits, 4)")})
+_scalars("two_state_filter", events, _EVENTS, {"two_state": (lambda: logic.is_two_state("bits"), "NOT regexp_matches(bits, '[xz]')")})
+_scalars("planes", events, _EVENTS, {"a": (lambda: logic.aval("bits"), "translate(bits, 'xz', '10')"), "b": (lambda: logic.bval("bits"), "translate(bits, '01xz', '0011')"), "back": (lambda: logic.from_planes(logic.aval("bits"), logic.bval("bits")), "bits"), "a0": (lambda: F.get(logic.plane_words(logic.aval("bits")), F.lit(0)), "list_sum([substr(translate(bits, 'xz', '10'), 16 - i, 1)::BIGINT << i FOR i IN range(16)])::BIGINT")})
 
 
 def _radix_sql(k: int) -> str:
@@ -295,17 +295,17 @@ def _radix_sql(k: int) -> str:
     return " || ".join(digit(g) for g in groups)
 
 
-_scalars("radix_hex", events, _EVENTS, {"hex": (logic.to_hex("bits"), _radix_sql(4))})
-_scalars("radix_oct", events, _EVENTS, {"oct": (logic.to_oct("bits"), _radix_sql(3))})
+_scalars("radix_hex", events, _EVENTS, {"hex": (lambda: logic.to_hex("bits"), _radix_sql(4))})
+_scalars("radix_oct", events, _EVENTS, {"oct": (lambda: logic.to_oct("bits"), _radix_sql(3))})
 _number = "list_sum([substr(bits, 16 - i, 1)::BIGINT << i FOR i IN range(16)])::BIGINT"
-_scalars("radix_dec_unsigned", events, _EVENTS, {"dec": (logic.to_dec("bits"), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE ({_number})::VARCHAR END")})
-_scalars("radix_dec_signed", events, _EVENTS, {"dec": (logic.to_dec("bits", signed=True), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE (({_number}) - CASE WHEN left(bits, 1) = '1' THEN 65536 ELSE 0 END)::VARCHAR END")})
-_scalars("to_uint64", events, _EVENTS, {"n": (logic.to_uint64("bits").cast("bigint"), f"CASE WHEN NOT regexp_matches(bits, '[xz]') THEN {_number} END")})
-_scalars("bit_test", events, _EVENTS, {"b0": (logic.get("bits", 0), "right(bits, 1)"), "b15": (logic.test("bits", 15), "left(bits, 1)"), "b16": (logic.get("bits", 16), "'x'")})
-_scalars("bit_set_flip", events, _EVENTS, {"s": (logic.set_bit("bits", 3), "left(bits, 12) || '1' || right(bits, 3)"), "r": (logic.reset_bit("bits", 0), "left(bits, 15) || '0'"), "f": (logic.flip_bit("bits", 15), "translate(left(bits, 1), '01z', '10x') || right(bits, 15)")})
-_scalars("resize_coerce", events, _EVENTS, {"cut": (logic.resize("bits", 5), "right(bits, 5)"), "grown": (logic.resize("bits", 20, "z"), "'zzzz' || bits"), "coerced": (logic.coerce("bits", 18), "'xx' || bits"), "pushed": (logic.push_back("bits", F.lit("1")), "'1' || bits"), "popped": (logic.pop_back("bits"), "substr(bits, 2)")})
-_scalars("assign_bits", events, _EVENTS, {"chars": (logic.assign_chars("bits", F.lit("1Z?0")), "left(bits, 12) || '1zx0'"), "number": (logic.assign_uint64("bits", F.col("seq") % 65536), "lpad(bin(seq % 65536), 16, '0')")})
-_scalars("mvl9_collapse", events, _EVENTS, {"r": (logic.collapse9(F.translate("bits", "01xz", "LHW-")), "translate(bits, 'z', 'x')")})
+_scalars("radix_dec_unsigned", events, _EVENTS, {"dec": (lambda: logic.to_dec("bits"), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE ({_number})::VARCHAR END")})
+_scalars("radix_dec_signed", events, _EVENTS, {"dec": (lambda: logic.to_dec("bits", signed=True), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE (({_number}) - CASE WHEN left(bits, 1) = '1' THEN 65536 ELSE 0 END)::VARCHAR END")})
+_scalars("to_uint64", events, _EVENTS, {"n": (lambda: logic.to_uint64("bits").cast("bigint"), f"CASE WHEN NOT regexp_matches(bits, '[xz]') THEN {_number} END")})
+_scalars("bit_test", events, _EVENTS, {"b0": (lambda: logic.get("bits", 0), "right(bits, 1)"), "b15": (lambda: logic.test("bits", 15), "left(bits, 1)"), "b16": (lambda: logic.get("bits", 16), "'x'")})
+_scalars("bit_set_flip", events, _EVENTS, {"s": (lambda: logic.set_bit("bits", 3), "left(bits, 12) || '1' || right(bits, 3)"), "r": (lambda: logic.reset_bit("bits", 0), "left(bits, 15) || '0'"), "f": (lambda: logic.flip_bit("bits", 15), "translate(left(bits, 1), '01z', '10x') || right(bits, 15)")})
+_scalars("resize_coerce", events, _EVENTS, {"cut": (lambda: logic.resize("bits", 5), "right(bits, 5)"), "grown": (lambda: logic.resize("bits", 20, "z"), "'zzzz' || bits"), "coerced": (lambda: logic.coerce("bits", 18), "'xx' || bits"), "pushed": (lambda: logic.push_back("bits", F.lit("1")), "'1' || bits"), "popped": (lambda: logic.pop_back("bits"), "substr(bits, 2)")})
+_scalars("assign_bits", events, _EVENTS, {"chars": (lambda: logic.assign_chars("bits", F.lit("1Z?0")), "left(bits, 12) || '1zx0'"), "number": (lambda: logic.assign_uint64("bits", F.col("seq") % 65536), "lpad(bin(seq % 65536), 16, '0')")})
+_scalars("mvl9_collapse", events, _EVENTS, {"r": (lambda: logic.collapse9(F.translate("bits", "01xz", "LHW-")), "translate(bits, 'z', 'x')")})
 
 
 @_query("SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS code, CASE event_type WHEN 'click' THEN 'IDLE' WHEN 'view' THEN 'RUN' WHEN 'purchase' THEN '' END AS label FROM events")

@@ -18,7 +18,8 @@ def waveform(spark: SparkSession, streams: int = 1024, ticks: int = 200_000, see
         period = period.when(share < upto, ticks_apart)
     width = F.get(F.array(*map(F.lit, WIDTHS)), F.col("stream_id") % len(WIDTHS))
     rows = spark.range(streams).select(F.col("id").cast("int").alias("stream_id")).withColumns({"period": period, "width": width})
-    rows = rows.repartition(spark.sparkContext.defaultParallelism).select("stream_id", "width", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1), F.col("period"))).cast("bigint").alias("t"))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism).select("stream_id", "width", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1), F.col("period"))).alias("at"))
+    rows = rows.select("stream_id", "width", F.col("at").cast("bigint").alias("t"))
     draw = F.xxhash64("stream_id", "t", F.lit(seed))
     bits = F.right(F.lpad(F.bin(draw), 64, "0"), F.col("width"))
     bits = F.when(F.pmod(draw, F.lit(997)) == 0, F.repeat(F.lit("x"), F.col("width"))).otherwise(bits)
