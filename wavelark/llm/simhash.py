@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -204,7 +204,8 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def _components(prints: DataFrame) -> DataFrame:
-    """(fingerprint, component_id) of every distinct fingerprint in prints (doc_id, __fingerprint)."""
+    """(fingerprint, root, component_id) of every distinct fingerprint in prints (doc_id, __fingerprint). The root is the
+    component's own; with repeated or null ids, two components may have one component_id."""
     least = common.written(prints.groupBy("__fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
     n = common.parts(prints.sparkSession)
     dealt = least.select("__fingerprint").repartition(n).mapInArrow(_dealt, "anchor long, fingerprint long")
@@ -212,7 +213,7 @@ def _components(prints: DataFrame) -> DataFrame:
     labels = components(found).toDF("__fingerprint", "root")
     joined = common.written(least.join(labels, "__fingerprint", "left").select("__fingerprint", F.coalesce("root", "__fingerprint").alias("root"), "least"), "roots")
     first = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return joined.join(first, "root").select("__fingerprint", "component_id")
+    return joined.join(first, "root").select("__fingerprint", F.col("root").alias("__root"), "component_id")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -223,15 +224,11 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The document of least id of each component, its columns unchanged; of rows with that very id, one."""
-    rows = common.written(_with_fingerprint(docs), "simhash")
-    found = _components(rows.select("doc_id", "__fingerprint"))
-    kept = rows.join(found, "__fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # what is left has an id for each component, but for rows that repeat it
-    numbers = kept.withColumn("__tie", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
-    return _first_of_each(numbers).select(*docs.columns)
-
-
-def _first_of_each(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("component_id").orderBy("__tie", "__row")
-    return rows.withColumn("__place", F.row_number().over(order)).filter("__place = 1")
+    """The document of least id of each component, its columns unchanged; of rows with that very id, the one whose text
+    has the least hash."""
+    rows = common.written(_with_fingerprint(docs).withColumn("__row", F.monotonically_increasing_id()), "simhash")
+    small = rows.select("doc_id", "__fingerprint", F.xxhash64("text").alias("__tie"), "__row")
+    found = small.join(_components(small.select("doc_id", "__fingerprint")), "__fingerprint")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__tie", "__row")
+    first = found.groupBy("__root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
