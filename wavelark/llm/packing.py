@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of fixed length, under constraints.
 
-Documents are dealt into groups of about ``GROUP`` by a hash of id and text, so that no source or cluster of copies meets
+Documents are dealt into groups of about ``GROUP`` by a hash of id, text and number of the row, so that no source or cluster of copies meets
 in one group. In a group, documents go from longest to shortest into open bins, which are ordered by residual: the search
 begins at the least residual that fits and continues until it finds a bin that does not conflict, the tightest one there
 is. Every bin carries bitmaps of its sources and of its clusters of copies: a bin takes no two documents of a cluster,
@@ -88,8 +88,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     """A row for each piece: doc_id, source, cluster (hash of the text), doc_start, length, bin, bin_start (in tokens)."""
     cluster = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select("doc_id", "source", (F.size(common.words(F.col("text").cast("string"))) + 1).cast("bigint").alias("length"), cluster.alias("cluster"))
-    rows = common.written(rows, "lengths")
+    # the number of the row deals out even rows that repeat one another
+    rows = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")
     groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(groups)))
     kind, source = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
     return rows.groupBy("dealt").applyInPandas(_packer(capacity), f"doc_id {kind}, source {source}, cluster long, doc_start long, length long, bin long, bin_start long")
