@@ -1,0 +1 @@
+"""Value-change analytics on Spark."""
