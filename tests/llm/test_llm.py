@@ -411,6 +411,14 @@ def test_long_chain(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_links_are_read_once(spark):
+    """Links whose direction changes each time they are made still join what they link."""
+    flip = F.rand() < 0.5
+    edges = spark.range(200).select(F.when(flip, F.col("id")).otherwise(F.col("id") + 1000).alias("a"), F.col("id").alias("i"))
+    edges = edges.select("a", F.when(F.col("a") < 1000, F.col("i") + 1000).otherwise(F.col("i")).alias("b"))
+    assert {(r.fingerprint, r.root) for r in simhash.components(edges).collect()} == {(i + k, i) for i in range(200) for k in (0, 1000)}
+
+
 def test_kept(odd, empty):
     kept = simhash.keep(odd)
     assert kept.columns == odd.columns and simhash.keep(empty).count() == 0

@@ -183,6 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the least label among its own and its neighbours', then that label's own label, until
     nothing changes; the rounds needed grow with the logarithm of the longest chain."""
+    # written first: evaluated twice, the two directions could come from different forests
+    edges = common.written(edges, "links")
     both = common.written(edges.union(edges.select("b", "a")).toDF("fingerprint", "other").distinct(), "edges")
     labels = common.written(both.groupBy("fingerprint").agg(F.min("other").alias("other")).select("fingerprint", F.least("fingerprint", "other").alias("root")), "labels")
     while True:
@@ -209,7 +211,7 @@ def _components(prints: DataFrame) -> DataFrame:
     least = common.written(prints.groupBy("__fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
     n = common.parts(prints.sparkSession)
     dealt = least.select("__fingerprint").repartition(n).mapInArrow(_dealt, "anchor long, fingerprint long")
-    found = dealt.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "a long, b long")
+    found = dealt.repartition(n, "anchor").sortWithinPartitions("anchor", "fingerprint").mapInArrow(_compared, "a long, b long")
     labels = components(found).toDF("__fingerprint", "root")
     joined = common.written(least.join(labels, "__fingerprint", "left").select("__fingerprint", F.coalesce("root", "__fingerprint").alias("root"), "least"), "roots")
     first = joined.groupBy("root").agg(F.min("least").alias("component_id"))
