@@ -5,6 +5,7 @@ Bit i counts from the right. Everything is an expression of built-in functions,
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,8 +192,6 @@ def to_dec(bits: Bits, signed: bool = False) -> Column:
 
 def to_dec_wide(bits: Bits, signed: bool = False) -> Column:
     """As to_dec, of any width, by Python's integers in Arrow batches."""
-    import pandas as pd
-
     def digits(b: str | None) -> str | None:
         if not b or set(b) - {"0", "1"}:
             return "x" if b else b
