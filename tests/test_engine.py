@@ -183,6 +183,39 @@ def test_vcd(spark, tmp_path):
     assert spark.read.format("vcd").option("path", str(dump)).load().count() == db.rows.count() == 5
 
 
+def test_large_dump(spark, tmp_path):
+    """Blocks of 200 bytes: the header, times and changes all reach over their ends."""
+    from wavelark.sources.dumps import read_dump, write_dump
+    from wavelark.sources.vcd import VcdReader
+
+    head = "$timescale 10 ps $end\n$scope module top $end\n$var wire 1 #5 clk $end\n$var reg 8 # data [7:0] $end\n$var wire 1 #5 mirror $end\n$scope module sub $end\n$var real 64 b1 temp $end\n$var string 1 s name $end\n$upscope $end\n$upscope $end\n$comment #77 $end\n$enddefinitions $end\n$dumpvars\n1#5\nbx #\n$end\n"
+    body = "".join(f"#{t}\n" + (f"{t % 2}#5 b{t % 200:b} #\n" if t % 3 else f"r{t / 4} b1\nsv{t} s\nbz1 #\n$comment 1#5 $end\n") + f"B{t % 7:b}X #\n" * (t % 40) for t in range(0, 300, 2))
+    dump = tmp_path / "a.vcd"
+    dump.write_text(head + body)
+    want = ingest(VcdReader(str(dump)), Builder(spark))
+    kept = ("stream_id", "t", "bits", "real", "str")
+    order = lambda db: [tuple(r[c] for c in kept) for r in db.rows.orderBy("seq").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = read_dump(spark, str(dump))
+        assert order(got) == order(want) and got.scale == want.scale and got.streams == want.streams and got.hierarchy.dump() == want.hierarchy.dump()
+        write_dump(got, str(tmp_path / "out"))
+        again = read_dump(spark, str(tmp_path / "out"))
+        place = lambda db: sorted((repr(tuple(r)) for r in db.rows.select(*kept).collect()))
+        assert place(again) == place(want) and again.hierarchy.dump() == want.hierarchy.dump()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "b.vcd").write_text(head + "#1\nb101\n#\n")
+    with pytest.raises(Exception, match="no identifier"):
+        read_dump(spark, str(tmp_path / "b.vcd")).rows.collect()
+    (tmp_path / "c.vcd").write_text(head + "#1\n1?\n")
+    with pytest.raises(Exception, match="no variable"):
+        read_dump(spark, str(tmp_path / "c.vcd")).rows.collect()
+    with pytest.raises(WaveError):
+        read_dump(spark, str(tmp_path / "none"))
+
+
 def test_streaming(spark, tmp_path):
     from wavelark.streaming.ingest import append_to_store, monotonic, slice_changes
 
