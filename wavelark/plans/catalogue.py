@@ -216,6 +216,27 @@ def export_lines(spark, sf_dir):
     return change_lines(ops.merged(events(spark, sf_dir), request))
 
 
+@_query(f"SELECT stream_id, t, bits FROM {_EVENTS}")
+def dump_round_trip(spark, sf_dir):
+    """The events as a database, written as a dump and read back; the design, a signal per stream, is the driver's."""
+    from ..builder import Builder
+    from ..database import Database
+    from ..sources.dumps import read_dump, write_dump
+    from ..sources.scratch import scratch_dir
+    from ..types import Vector
+
+    rows, builder = events(spark, sf_dir), Builder(spark)
+    builder.begin_scope("top")
+    users = [r.stream_id for r in rows.select("stream_id").distinct().orderBy("stream_id").toLocalIterator()]
+    place = spark.createDataFrame([(u, builder.hierarchy.node(builder.declare(f"u{u}", Vector(15, 0))).stream) for u in users], "user_id bigint, stream_id int")
+    rows = rows.withColumnRenamed("stream_id", "user_id").join(place, "user_id").select("stream_id", "t", "seq", "bits", F.lit(None).cast("double").alias("real"), F.lit(None).cast("string").alias("str"))
+    path = scratch_dir(spark, "dump")
+    write_dump(Database(builder.hierarchy, rows, builder.streams, builder.scale), path)
+    db = read_dump(spark, path)
+    names = [(db.hierarchy.node(n).stream, int(db.hierarchy.node(n).name[1:])) for n in db.leaf_nodes()]
+    return db.rows.join(spark.createDataFrame(names, "stream_id int, user_id bigint"), "stream_id").select(F.col("user_id").alias("stream_id"), "t", "bits")
+
+
 # composites: the users 10g to 10g + 9 are a group
 
 
@@ -275,7 +296,12 @@ def validate_streams(spark, sf_dir):
     return ops.violations(rows, _declared(spark, sf_dir)).drop("real", "str")
 
 
-@_query(None)
+#: The polynomial of CRC-32 (IEEE 802.3), low bit first, and what the sum begins with.
+_POLYNOMIAL, _ONES = 0xEDB88320, 0xFFFFFFFF
+_CRC = f"list_reduce(list_concat([{_ONES}], list_transform(string_split(bits, ''), lambda c: ascii(c)::BIGINT)), lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN {_POLYNOMIAL} ELSE 0 END)))"
+
+
+@_query(f"SELECT seq, xor({_CRC}, {_ONES})::BIGINT AS crc FROM {_EVENTS}")
 def crc_rows(spark, sf_dir):
     return events(spark, sf_dir).select("seq", F.crc32("bits").alias("crc"))
 
@@ -300,6 +326,10 @@ _scalars("radix_oct", events, _EVENTS, {"oct": (lambda: logic.to_oct("bits"), _r
 _number = "list_sum([substr(bits, 16 - i, 1)::BIGINT << i FOR i IN range(16)])::BIGINT"
 _scalars("radix_dec_unsigned", events, _EVENTS, {"dec": (lambda: logic.to_dec("bits"), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE ({_number})::VARCHAR END")})
 _scalars("radix_dec_signed", events, _EVENTS, {"dec": (lambda: logic.to_dec("bits", signed=True), f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE (({_number}) - CASE WHEN left(bits, 1) = '1' THEN 65536 ELSE 0 END)::VARCHAR END")})
+_wide = "list_reduce(list_transform(range(97), lambda i: substr('0' || repeat(bits, 6), i::INT + 1, 1)::HUGEINT), lambda a, x: a * 2 + x)"
+_wide_sql = lambda signed: f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE ({_wide}{' - CASE WHEN left(bits, 1) = $$1$$ THEN 1::HUGEINT << 96 ELSE 0 END' if signed else ''})::VARCHAR END"
+_repeated = lambda: F.repeat("bits", F.lit(6))
+_scalars("radix_dec_wide", events, _EVENTS, {f"{name}_{sign}": (lambda f=f, signed=sign == "signed": f(_repeated(), signed), _wide_sql(sign == "signed")) for name, f in (("jvm", logic.to_dec), ("python", logic.to_dec_wide)) for sign in ("unsigned", "signed")})
 _scalars("to_uint64", events, _EVENTS, {"n": (lambda: logic.to_uint64("bits").cast("bigint"), f"CASE WHEN NOT regexp_matches(bits, '[xz]') THEN {_number} END")})
 _scalars("bit_test", events, _EVENTS, {"b0": (lambda: logic.get("bits", 0), "right(bits, 1)"), "b15": (lambda: logic.test("bits", 15), "left(bits, 1)"), "b16": (lambda: logic.get("bits", 16), "'x'")})
 _scalars("bit_set_flip", events, _EVENTS, {"s": (lambda: logic.set_bit("bits", 3), "left(bits, 12) || '1' || right(bits, 3)"), "r": (lambda: logic.reset_bit("bits", 0), "left(bits, 15) || '0'"), "f": (lambda: logic.flip_bit("bits", 15), "translate(left(bits, 1), '01z', '10x') || right(bits, 15)")})
