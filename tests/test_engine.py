@@ -189,7 +189,7 @@ def test_large_dump(spark, tmp_path):
     from wavelark.sources.vcd import VcdReader
 
     head = "$timescale 10 ps $end\n$scope module top $end\n$var wire 1 #5 clk $end\n$var reg 8 # data [7:0] $end\n$var wire 1 #5 mirror $end\n$scope module sub $end\n$var real 64 b1 temp $end\n$var string 1 s name $end\n$upscope $end\n$upscope $end\n$comment #77 $end\n$enddefinitions $end\n$dumpvars\n1#5\nbx #\n$end\n"
-    body = "".join(f"#{t}\n" + (f"{t % 2}#5 b{t % 200:b} #\n" if t % 3 else f"r{t / 4} b1\nsv{t} s\nbz1 #\n$comment 1#5 $end\n") + f"B{t % 7:b}X #\n" * (t % 40) for t in range(0, 300, 2))
+    body = "".join(f"#{t}\n" + (f"{t % 2}#5 b{t % 200:b} #\n" if t % 3 else f"r{t / 4} b1\nsv{t} s\nbz1 #\n$comment 1#5 $end\n") + f"B{t % 7:b}X #\n" * (t % 40) for t in range(0, 60, 2))
     dump = tmp_path / "a.vcd"
     dump.write_text(head + body)
     want = ingest(VcdReader(str(dump)), Builder(spark))
