@@ -206,6 +206,8 @@ def test_large_dump(spark, tmp_path):
         assert place(again) == place(want) and again.hierarchy.dump() == want.hierarchy.dump()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "d.vcd").write_text(head.split("$dumpvars")[0])
+    assert read_dump(spark, str(tmp_path / "d.vcd")).rows.count() == 0
     (tmp_path / "b.vcd").write_text(head + "#1\nb101\n#\n")
     with pytest.raises(Exception, match="no identifier"):
         read_dump(spark, str(tmp_path / "b.vcd")).rows.collect()
