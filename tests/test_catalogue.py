@@ -37,3 +37,17 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_tables(spark):
+    """Range, merges and export have a query over every stream, not only over some ids."""
+    found, rows = catalogue.queries(), catalogue.events(spark, DATA).cache()
+    ids, n = {r.stream_id for r in rows.select("stream_id").distinct().collect()}, rows.count()
+    inside = rows.filter(f"t >= {catalogue.EVENTS_RANGE.begin} AND t < {catalogue.EVENTS_RANGE.end}")
+    assert found["range_changes_all"](spark, DATA).count() == inside.count()
+    assert found["merge_tagged_all"](spark, DATA).count() == n + rows.filter("stream_id % 3 = 0").count()
+    mixed = found["mixed_merge_all"](spark, DATA).collect()
+    assert sum(r.source % 5 == 0 for r in mixed) == inside.count() and {r.source % 5 for r in mixed} == {0, 1, 2, 3, 4}
+    lines = found["export_lines_all"](spark, DATA).collect()
+    assert len(lines) == n and {r.source for r in lines} == ids
+    rows.unpersist()

@@ -132,6 +132,11 @@ def range_changes(spark, sf_dir):
     return ops.in_range(events(spark, sf_dir), EVENTS_RANGE, [1, 3, 5, 7])
 
 
+@_query(f"SELECT stream_id, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)}")
+def range_changes_all(spark, sf_dir):
+    return ops.in_range(events(spark, sf_dir), EVENTS_RANGE)
+
+
 def _slices(spark, sf_dir):
     """Every field of every stream."""
     fields = F.array(*(F.struct(F.lit(n).alias("field"), F.lit(o).alias("slice_offset"), F.lit(w).alias("slice_width")) for n, o, w in FIELDS))
@@ -216,6 +221,43 @@ def export_lines(spark, sf_dir):
     return change_lines(ops.merged(events(spark, sf_dir), request))
 
 
+# the same of whole tables: every stream is asked for
+
+
+def _streams(spark, sf_dir):
+    return events(spark, sf_dir).select("stream_id").distinct()
+
+
+_STREAMS = "(SELECT DISTINCT user_id AS stream_id FROM events)"
+
+
+@_query(f"""SELECT r.source, c.stream_id, c.t, c.seq, c.bits FROM {_EVENTS} c
+    JOIN (SELECT 2 * stream_id AS source, stream_id FROM {_STREAMS} UNION ALL SELECT 2 * stream_id + 1, stream_id FROM {_STREAMS} WHERE stream_id % 3 = 0 UNION ALL SELECT -2, -1) r USING (stream_id)""")
+def merge_tagged_all(spark, sf_dir):
+    """Every stream, each third one twice, and one that is unknown."""
+    streams = _streams(spark, sf_dir)
+    twice = streams.filter("stream_id % 3 = 0").select((2 * F.col("stream_id") + 1).alias("source"), "stream_id")
+    unknown = spark.range(1).select(F.lit(-2).cast("bigint").alias("source"), F.lit(-1).cast("bigint").alias("stream_id"))
+    return ops.merged(events(spark, sf_dir), streams.select((2 * F.col("stream_id")).alias("source"), "stream_id").union(twice).union(unknown))
+
+
+@_query(f"""SELECT 5 * stream_id AS source, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)}
+    UNION ALL SELECT 5 * stream_id + CASE split_part(slice, '.', 2) {' '.join(f"WHEN '{n}' THEN {k}" for k, (n, _, _) in enumerate(FIELDS, 1))} END, t, seq, bits FROM {_changed_sql(_sliced_sql(_EVENTS))} WHERE p IS DISTINCT FROM bits AND {_in(EVENTS_RANGE)}""")
+def mixed_merge_all(spark, sf_dir):
+    """Every stream, and every field of every stream."""
+    plain = _streams(spark, sf_dir).select((5 * F.col("stream_id")).alias("source"), "stream_id")
+    place = F.array_position(F.array(*(F.lit(n) for n, _, _ in FIELDS)), F.substring_index("slice", ".", -1))
+    slices = _slices(spark, sf_dir).withColumn("source", 5 * F.col("stream_id") + place)
+    return ops.mixed(events(spark, sf_dir), plain, slices, EVENTS_RANGE)
+
+
+@_query(f"SELECT stream_id AS source, t, seq, CASE WHEN t IS DISTINCT FROM lag(t) OVER (ORDER BY t, stream_id, seq) THEN '#' || t END AS header, 'b' || bits || ' s' || stream_id AS line FROM {_EVENTS}")
+def export_lines_all(spark, sf_dir):
+    from ..sources.export import change_lines
+
+    return change_lines(ops.merged(events(spark, sf_dir), _streams(spark, sf_dir).select(F.col("stream_id").alias("source"), "stream_id")))
+
+
 @_query(f"SELECT stream_id, t, bits FROM {_EVENTS}")
 def dump_round_trip(spark, sf_dir):
     """The events as a database, written as a dump and read back; the design, a signal per stream, is the driver's."""
