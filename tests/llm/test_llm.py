@@ -229,6 +229,20 @@ def test_language_model_by_hand():
     assert len(langid.grams(["ab"])[0]) == 2 + 3 + 2
 
 
+def test_unlearned_languages(spark, docs):
+    """Long text of no learned language goes, however sure the posterior; all labelled rows are learned from."""
+    rng = np.random.default_rng(7)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(300)) for _ in range(5)]
+    foreign = [*noise, "это длинный текст на языке которому никто не учил " * 20, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan " * 20]
+    long = docs.filter(F.size(F.split("text", " ")) >= 50)
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    given = long.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))).unionByName(extra, allowMissingColumns=True)
+    kept, spoken = {r.doc_id for r in langid.keep(given).collect()}, {r.doc_id: r.lang for r in long.select("doc_id", "lang").collect()}
+    assert min(kept) >= 0 and not any(spoken[i] == "es" for i in kept) and kept == {i for i, lang in spoken.items() if lang != "es"}
+    held = spark.createDataFrame([(i, "ab abc", "a") for i in range(100) if fold(i, 4) == 2], "doc_id long, text string, lang string")
+    assert langid.keep(held).count() == held.count()
+
+
 # shards
 
 

@@ -5,7 +5,9 @@ word fall into ``BUCKETS`` buckets. Training counts are added up by language and
 probabilities has languages * BUCKETS cells, whatever the size of the corpus, and goes to all tasks. Each task scores
 every distinct word once, as a sparse sum over the matrix, and adds the words of each document.
 
-All labelled documents are learned from. Null text, and text without a letter, is ``und`` with score 0, as is every text
+``keep`` learns from all labelled documents, ``predict`` from all but the held-out ones. As the posterior of a long text is
+1 whatever its language, ``keep`` also asks how usual a text is: the mean log probability of its n-grams in the language it
+is told to be in, measured by their mean and standard deviation in what was learned of that language. Null text, and text without a letter, is ``und`` with score 0, as is every text
 where nothing could be learned; repeated rows are each scored; an empty table gives no rows; ``keep`` passes all columns
 through. The label never enters a prediction.
 """
@@ -27,6 +29,8 @@ LONGEST = 3
 UNKNOWN = "und"
 #: ``keep`` drops what is less certain.
 MIN_SCORE = 0.5
+#: ``keep`` drops what is less usual, in standard deviations of an n-gram from the mean of the language.
+MIN_USUAL = -1.0
 #: Distinct words held at a time.
 VOCABULARY = 100_000
 #: Odd multipliers of the hash, one for each position.
@@ -82,20 +86,29 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages in order, the log prior of each, and the log probability of each bucket in each language."""
+    """Languages in order, the log prior of each, and the log probability of each bucket in each language; seen is each
+    bucket's share of the n-grams learned, and if not given what log says."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, log: np.ndarray):
+    def __init__(self, langs: list[str], prior: np.ndarray, log: np.ndarray, seen: np.ndarray | None = None):
         self.langs, self.prior, self.log = langs, prior, log
+        seen = np.exp(log) if seen is None else seen
+        self.mean = (seen * log).sum(axis=0)
+        self.spread = np.sqrt((seen * (log - self.mean) ** 2).sum(axis=0))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """What each word adds, by language; the last column is 1 if it has a letter."""
+        """What each word adds, by language; then how many n-grams it has, and 1 if it has a letter."""
         place, bucket = grams(words)
         starts = np.searchsorted(place, np.arange(len(words)))
         letters = np.fromiter((any(map(str.isalpha, w)) for w in words), float, len(words))
-        return np.c_[np.add.reduceat(self.log[bucket], starts, axis=0), letters]
+        return np.c_[np.add.reduceat(self.log[bucket], starts, axis=0), np.diff(starts, append=len(place)), letters]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        total = np.zeros((len(texts), len(self.langs) + 1))
+        langs, score, _ = self.rated(texts)
+        return langs, score
+
+    def rated(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, its posterior, and how usual the text is in that language."""
+        total = np.zeros((len(texts), len(self.langs) + 2))
         place: dict[str, int] = {}
         waiting: list[tuple[int, np.ndarray]] = []
 
@@ -124,17 +137,20 @@ class Model:
                     held = 0
         settle()
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        log = total[:, :-1] + self.prior
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        log = total[:, :-2] + self.prior
         best = log.argmax(axis=1)
         share = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
         letters = total[:, -1] > 0
-        return [self.langs[b] if x else UNKNOWN for b, x in zip(best, letters, strict=True)], np.where(letters, share, 0.0)
+        each = total[np.arange(len(texts)), best] / np.maximum(1, total[:, -2])
+        usual = (each - self.mean[best]) / np.maximum(1e-9, self.spread[best])
+        return [self.langs[b] if x else UNKNOWN for b, x in zip(best, letters, strict=True)], np.where(letters, share, 0.0), np.where(letters, usual, -np.inf)
 
 
-def learn(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
-    """Learn from the labelled documents whose crc32(doc_id) mod folds is not held."""
-    rows = docs.filter(F.col("lang").isNotNull() & (F.crc32(common.id_text()) % folds != held)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def learn(docs: DataFrame, folds: int = 4, held: int | None = 2) -> Model:
+    """Learn from the labelled documents whose crc32(doc_id) mod folds is not held; from all if held is None."""
+    told = F.col("lang").isNotNull()
+    rows = docs.filter(told if held is None else told & (F.crc32(common.id_text()) % folds != held)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.mapInArrow(_learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     table = np.zeros((BUCKETS, len(langs)))
@@ -144,7 +160,7 @@ def learn(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
     documents = np.zeros(len(langs))
     documents[place[bucket < 0]] = n[bucket < 0]
     smoothed = table + 0.5
-    return Model(langs, np.log(documents / max(1, documents.sum())), np.log(smoothed / smoothed.sum(axis=0)))
+    return Model(langs, np.log(documents / max(1, documents.sum())), np.log(smoothed / smoothed.sum(axis=0)), table / np.maximum(1, table.sum(axis=0)))
 
 
 def _predictor(model: Model, names: list[str]):
@@ -164,13 +180,13 @@ def predict(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return rows.mapInArrow(_predictor(model, ["doc_id", "held_out", "lang_pred", "score"]), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a language that was learned, told with at least min_score."""
-    model = learn(docs)
+def keep(docs: DataFrame, min_score: float = MIN_SCORE, min_usual: float = MIN_USUAL) -> DataFrame:
+    """The documents in a language that was learned, told with at least min_score and at least min_usual for it."""
+    model = learn(docs, held=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = model.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, score, strict=True)], pa.bool_()))
+            langs, score, usual = model.rated(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score and u >= min_usual for x, s, u in zip(langs, score, usual, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
