@@ -326,6 +326,15 @@ def test_bpe(odd, empty, docs):
     assert [x[0].tolist() for x in own.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
 
 
+def test_long_matches(monkeypatch):
+    """The heap, which takes long matches, gives the ids of the recursive query."""
+    own = bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = [bytes(np.random.default_rng(n).choice(list(b"etaoinshrdlu"), n).astype(np.uint8)) for n in (129, 200, 512)]
+    heap = own.contract(words)
+    monkeypatch.setattr(bpe, "LONG", 1 << 20)
+    assert all((a == b).all() for a, b in zip(heap, own.contract(words), strict=True))
+
+
 # packing
 
 
