@@ -15,9 +15,12 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a fresh one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run on one machine
+    (tests) a fresh one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wavelark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -39,6 +42,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def copies(df: DataFrame) -> DataFrame:
+    """df with a column copy: 0 for a row, and 1, 2 and so on for those that repeat it. The same rows give the same numbers
+    however they are partitioned; a row that a third of the table repeats is counted before it is dealt, and dealt in runs."""
+    run = 4096
+    n = df.groupBy(*df.columns).agg(F.count("*").alias("copy_n"))
+    runs = n.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copy_n") - 1, F.lit(run).cast("bigint"))).alias("copy_at"))
+    runs = runs.repartition(parts(df.sparkSession), *df.columns, "copy_at")
+    return runs.select(*df.columns, F.explode(F.sequence("copy_at", F.least(F.col("copy_at") + run, F.col("copy_n")) - 1)).alias("copy"))
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions the session deals a shuffle into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

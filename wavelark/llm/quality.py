@@ -2,15 +2,16 @@
 
 A document is measured within its own row. Failures of each rule are counted by host (partial counts meet, so a host
 with a third of all rows costs no more than others), a beta prior is fitted to the hosts' failure rates by moments, and
-each host's rates are shrunk towards it: a host with few documents is judged mostly by the prior. The hosts' verdicts are
-joined back to the documents; Spark broadcasts the hosts only where it has measured them to be small.
+each host's rates are shrunk towards it: a host with few documents is judged mostly by the prior. A host vouches for its
+documents in a rule if it fails that rule credibly less often than the corpus does, by one posterior standard deviation.
+The hosts' verdicts are joined back to the documents by host and salt, so that a hot host is spread over tasks; Spark
+broadcasts the hosts only where it has measured them to be small.
 
-A document goes if it fails the base rules, if it fails two or more rules, or if it fails one rule that its host fails
-more often than not. One that fails no rule stays, whatever its host.
+A document goes if it fails the base rules, if it fails two or more rules, or if it fails one rule in which its host does
+not vouch for it. One that fails no rule stays, whatever its host.
 
 Null text counts as empty and so fails; a null source is a host of its own; repeated rows are each judged, and each
-counts for the host; an empty table gives no rows; other columns pass through ``keep`` unchanged, and names that begin
-with ``__quality`` are taken.
+counts for the host; an empty table gives no rows; all columns pass through ``keep`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from . import common
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 RULES = ("short", "repeats", "symbols", "lines", "word_length")
-#: A host fails a rule if its shrunk failure rate is above this.
-HOST_RATE = 0.5
+#: A host vouches where its shrunk failure rate is so many posterior standard deviations below the mean.
+VOUCH = 1.0
+#: How many tasks share the documents of a host in the join, at least.
+SALT = 16
 #: A document that fails so many rules goes, whatever its host.
 OWN_FAILURES = 2
 
@@ -66,7 +69,7 @@ def failures(q: Column) -> dict[str, Column]:
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """One row per host: how many documents, and for each rule the shrunk failure rate."""
+    """One row per host: how many documents, for each rule the shrunk failure rate, and whether the host vouches."""
     fails = failures(F.col("__quality"))
     hosts = measured.groupBy(F.col("source").alias("__quality_host")).agg(F.count("*").alias("host_docs"), *(F.sum(fails[r].cast("bigint")).alias(r) for r in RULES))
     hosts = common.written(hosts, "hosts")
@@ -74,36 +77,49 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     mean = {r: F.sum(r) / F.sum("host_docs") for r in RULES}
     # one row: the moments of each rule's rates over the hosts
     row = hosts.agg(F.avg(1 / F.col("host_docs")).alias("noise"), *(m.alias(f"{r}_mean") for r, m in mean.items()), *(F.avg(x * x).alias(f"{r}_square") for r, x in rate.items()), *(F.avg(x).alias(f"{r}_rate") for r, x in rate.items())).first()
-    shrunk = []
+    shrunk, vouches = [], []
     for r in RULES:
         mean_r = row[f"{r}_mean"] or 0.0
         spread = mean_r * (1 - mean_r)
         between = (row[f"{r}_square"] or 0.0) - 2 * mean_r * (row[f"{r}_rate"] or 0.0) + mean_r * mean_r - spread * (row["noise"] or 0.0)
         strength = min(1e6, max(1.0, spread / between - 1)) if between > 0 else 1e6
-        shrunk.append(((F.col(r) + mean_r * strength) / (F.col("host_docs") + strength)).alias(r))
-    return hosts.select("__quality_host", "host_docs", *shrunk)
+        posterior = (F.col(r) + mean_r * strength) / (F.col("host_docs") + strength)
+        deviation = F.sqrt(posterior * (1 - posterior) / (F.col("host_docs") + strength + 1))
+        shrunk.append(posterior.alias(r))
+        vouches.append((posterior + VOUCH * deviation < mean_r).alias(f"{r}_vouched"))
+    return hosts.select("__quality_host", "host_docs", *shrunk, *vouches)
 
 
 def judged(measured: DataFrame) -> DataFrame:
-    """measured with the struct __quality_verdict: base_failed, n_failed, host_rate (the highest rate of a failed rule), kept."""
+    """measured with the struct __quality_verdict: base_failed, n_failed, host_rate (the highest rate of a failed rule),
+    kept, and host_rejected (whether it goes for nothing but that its host does not vouch for it)."""
     fails = failures(F.col("__quality"))
-    hosts = host_verdicts(measured).select("__quality_host", F.struct(*RULES).alias("__quality_rates"))
-    out = measured.join(hosts, measured["source"].eqNullSafe(hosts["__quality_host"]), "left")
+    hosts = host_verdicts(measured).select("__quality_host", F.struct(*RULES, *(f"{r}_vouched" for r in RULES)).alias("__quality_rates"))
+    hosts = hosts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__quality_side"))
+    out = measured.withColumn("__quality_salt", F.pmod(F.xxhash64("doc_id", "__quality"), F.lit(SALT)).cast("int"))
+    out = out.join(hosts, out["source"].eqNullSafe(hosts["__quality_host"]) & (out["__quality_salt"] == hosts["__quality_side"]), "left")
+    rates = F.col("__quality_rates")
     base = fails["short"] | fails["repeats"]
     failed = sum((fails[r].cast("int") for r in RULES), F.lit(0))
-    worst = F.greatest(*(F.when(fails[r], F.col("__quality_rates")[r]).otherwise(0.0) for r in RULES))
-    kept = ~base & (failed < OWN_FAILURES) & (worst <= HOST_RATE)
-    return out.withColumn("__quality_verdict", F.struct(base.alias("base_failed"), failed.alias("n_failed"), worst.alias("host_rate"), kept.alias("kept"))).drop("__quality_host", "__quality_rates")
+    worst = F.greatest(*(F.when(fails[r], rates[r]).otherwise(0.0) for r in RULES))
+    alone = F.lit(False)
+    for r in RULES:
+        alone = alone | (fails[r] & ~rates[f"{r}_vouched"])
+    rejected = ~base & (failed < OWN_FAILURES) & alone
+    kept = ~base & (failed < OWN_FAILURES) & ~alone
+    verdict = F.struct(base.alias("base_failed"), failed.alias("n_failed"), worst.alias("host_rate"), kept.alias("kept"), rejected.alias("host_rejected"))
+    return out.withColumn("__quality_verdict", verdict).drop("__quality_host", "__quality_rates", "__quality_salt", "__quality_side")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One row per document: its counts, base_failed, n_failed, host_rate and kept."""
+    """One row per document: its counts, base_failed, n_failed, host_rate, kept and host_rejected."""
     rows = common.written(measured(docs.select("doc_id", "source", "text")).select("doc_id", "source", "__quality"), "quality")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged(rows).select("doc_id", *(F.col("__quality")[c].alias(c) for c in counts), "__quality_verdict.*")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all their columns unchanged."""
-    rows = common.written(measured(docs), "quality")
-    return judged(rows).filter("__quality_verdict.kept").select(*docs.columns)
+    """The documents that stay, all their columns unchanged, whatever their names."""
+    row = docs.select("doc_id", "source", "text", F.struct("*").alias("__quality_row"))
+    rows = common.written(measured(row).drop("text"), "quality")
+    return judged(rows).filter("__quality_verdict.kept").select("__quality_row.*")
