@@ -1,14 +1,17 @@
 """Best-fit packing of documents into sequences of fixed length, under constraints.
 
-Documents are dealt into groups of about ``GROUP`` by a hash of id, text and number of the row, so that no source or cluster of copies meets
-in one group. In a group, documents go from longest to shortest into open bins, which are ordered by residual: the search
+Documents are dealt into groups of about ``GROUP`` by a hash of id, cluster, length, source and, where rows repeat one
+another, number of the copy, so that no source or cluster of copies meets in one group and the same rows give the same
+bins however they are partitioned. In a group, documents go from longest to shortest into open bins, which are ordered by residual: the search
 begins at the least residual that fits and continues until it finds a bin that does not conflict, the tightest one there
 is. Every bin carries bitmaps of its sources and of its clusters of copies: a bin takes no two documents of a cluster,
 and of a source no more than if its documents were spread over as many bins as the group needs at least.
 
 A document longer than a bin fills whole bins, and its rest is packed like any other. Lengths are words plus one end
-mark. Null or empty text has the end mark alone; a null source is a source of its own; repeated rows are each packed, as
-copies; an empty table gives no rows; other columns are ignored.
+mark. A cluster is the documents of one text, or of one value of a column of clusters if that is named (a null there is
+a cluster of its text). Null or empty text has the end mark alone; a null source is a source of its own, as a null id is
+an id; repeated rows are each packed, as copies; an empty table gives no rows; other columns are ignored. Ids and sources
+come out as they went in, of whatever type: they pass through Arrow alone.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,24 +76,30 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int =
 
 
 def _packer(capacity: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster", "length"], kind="stable").reset_index(drop=True)
-        sources = [None if pd.isna(s) else s for s in pdf["source"]]
-        pieces = best_fit(pdf["length"].tolist(), sources, pdf["cluster"].tolist(), capacity)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "cluster", "length", "source")])
+        pieces = best_fit(table["length"].to_pylist(), table["source"].to_pylist(), table["cluster"].to_pylist(), capacity)
         at, start, length, bins, place = zip(*pieces, strict=True)
-        picked = pdf.iloc[list(at)]
-        return pd.DataFrame({"doc_id": picked["doc_id"].to_numpy(), "source": picked["source"].to_numpy(), "cluster": picked["cluster"].to_numpy(), "doc_start": start, "length": length, "bin": [(key[0] << 32) + b for b in bins], "bin_start": place})
+        picked = table.select(["doc_id", "source", "cluster"]).take(pa.array(at, pa.int64()))
+        first = key[0].as_py() << 32
+        numbers = {"doc_start": start, "length": length, "bin": [first + b for b in bins], "bin_start": place}
+        for name, column in numbers.items():
+            picked = picked.append_column(name, pa.array(column, pa.int64()))
+        return picked
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """A row for each piece: doc_id, source, cluster (hash of the text), doc_start, length, bin, bin_start (in tokens)."""
-    cluster = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", "source", (F.size(common.words(F.col("text").cast("string"))) + 1).cast("bigint").alias("length"), cluster.alias("cluster"))
-    # the number of the row deals out even rows that repeat one another
-    rows = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, source, cluster (hash of the text), doc_start, length, bin, bin_start (in tokens).
+
+    cluster: the column that tells near-duplicates, if not the text does."""
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if cluster is not None:
+        own = F.when(F.col(cluster).isNull(), own).otherwise(F.xxhash64(cluster))
+    rows = docs.select("doc_id", "source", (F.size(common.words(F.col("text").cast("string"))) + 1).cast("bigint").alias("length"), own.alias("cluster"))
+    rows = common.written(common.copies(rows), "lengths")
     groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(groups)))
+    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "cluster", "length", "source", "copy"), F.lit(groups)))
     kind, source = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
-    return rows.groupBy("dealt").applyInPandas(_packer(capacity), f"doc_id {kind}, source {source}, cluster long, doc_start long, length long, bin long, bin_start long")
+    return rows.groupBy("dealt").applyInArrow(_packer(capacity), f"doc_id {kind}, source {source}, cluster long, doc_start long, length long, bin long, bin_start long")
