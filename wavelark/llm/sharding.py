@@ -1,9 +1,11 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of ``SLOTS`` slots, by its id; bytes and rows are added up by slot; a table of versions maps
-slots to shards. Version 0 deals out runs of slots; rebalancing writes a further version, in which slots have moved from
-full shards to empty ones until the bytes of the shards are near equal. Records never move by themselves, only slots do.
-The map has SLOTS rows, whatever the size of the corpus, and is all that the driver and every task hold.
+Every record hashes into one of ``SLOTS`` slots, by its id and text (and, where rows repeat one another, the number of the
+copy), so that neither a hot id nor a hot text fills a slot; bytes and rows are added up by slot; a table of versions
+maps slots to shards. Version 0 deals out runs of slots; rebalancing edits the last version there is and writes the next,
+in which slots have moved from full shards to empty ones until the bytes of the shards are near equal. Records never move
+by themselves, only slots do. The map has SLOTS rows, whatever the size of the corpus, and is all that the driver and
+every task hold.
 
 Null text has no bytes; a null id hashes like any other value; repeated rows are each placed; an empty table gives no
 rows; other columns are ignored. No slot needs more than its own rows in one task.
@@ -33,8 +35,24 @@ class SlotMap:
         self.spark.createDataFrame(rows, "slot int, shard int").coalesce(1).write.parquet(f"{self.path}/version={version}")
 
     def versions(self) -> list[int]:
+        """The numbers of the versions written, none if the map is new."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return []
         return sorted(r[0] for r in self.table().select("version").distinct().collect())
 
+    def edit(self, size: list[int], shards: int) -> int:
+        """Rebalance the last version (the first map, if there is none) by the bytes of each slot; the number of the next."""
+        known = self.versions()
+        if not known:
+            self.write(0, first_map(shards, len(size)))
+            known = [0]
+        last = self.read(known[-1])
+        if len(last) != len(size) or max(last) >= shards:
+            raise ValueError(f"the map in {self.path} has {len(last)} slots and {max(last) + 1} shards")
+        self.write(known[-1] + 1, rebalanced(last, size, shards))
+        return known[-1] + 1
+
     def table(self) -> DataFrame:
         return self.spark.read.schema("slot int, shard int, version int").parquet(self.path)
 
@@ -72,22 +90,21 @@ def rebalanced(shard_of: list[int], size: list[int], shards: int = SHARDS) -> li
 def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place within the shard, from 0), grown_shard and virtual_slot of each record.
 
-    path: where the versions of the map go; a scratch folder if not given."""
+    path: where the versions of the map are, if any, and the next one goes; a scratch folder if not given."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    rows = common.copies(rows).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(slots)).cast("int"))
     rows = common.written(rows, "slots")
     size, count = [0] * slots, [0] * slots
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
         size[r.virtual_slot], count[r.virtual_slot] = r["size"], r.n
     maps = SlotMap(spark, path or common.scratch_dir(spark, "slot-map"))
-    maps.write(0, first_map(shards, slots))
-    maps.write(1, rebalanced(maps.read(0), size, shards))
     filled, begins = [0] * shards, []
-    for slot, shard in enumerate(maps.read(1)):
+    for slot, shard in enumerate(maps.read(maps.edit(size, shards))):
         begins.append((slot, shard, filled[shard]))
         filled[shard] += count[slot]
     known = spark.createDataFrame(begins, "virtual_slot int, shard int, begin long")
-    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "text_hash", "copy")
     rows = rows.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(known), "virtual_slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
