@@ -4,17 +4,19 @@ Two fingerprints that differ in at most ``THRESHOLD`` (3) of 64 bits differ in a
 halves. The lower 31 bits of a half are covered by the anchors of the Hamming code [31, 26]: every point is within its
 covering radius, 1, of exactly one anchor, its home. A fingerprint goes to every anchor within the covering radius plus
 the half's threshold, 2 bits away, of which there are at most 16; if two halves differ in at most one bit, each
-fingerprint therefore meets the other at the other's home. So all anchors are compared, and no link is lost.
+fingerprint therefore meets the other at the other's home. So all anchors are compared, and no link is lost. The other
+halves of two that are linked differ in at most 3 bits, so one of their four bytes is the same: an anchor's fingerprints
+are dealt out further by each of these bytes, which spreads a crowded anchor over tasks and parts it 256 ways.
 
-Only distinct fingerprints are dealt out, so exact copies never meet. An anchor's fingerprints are compared in blocks by
-XOR and bit counts; of the links found there, those that join what was not yet joined (a spanning forest) are passed on,
-so a large group of near copies gives no more rows than it has members. If an anchor has more than ``CROWD``
-fingerprints they are first told apart further by 16-bit quarters, one of which two linked ones share. Components come
-from label propagation with pointer jumping over these links, written to the shared folder in each round.
+Only distinct fingerprints are dealt out, so exact copies never meet. The fingerprints of an anchor and byte are compared
+in blocks by XOR and bit counts; of the links found there, those that join what was not yet joined (a spanning forest)
+are passed on, so a large group of near copies gives no more rows than it has members. Components come from label
+propagation with pointer jumping over these links, written to the shared folder in each round.
 
 Words are maximal runs of anything but ASCII white space, A-Z lower-cased. Null text counts as empty; a text without
 words has fingerprint zero, linked like any other; repeated rows and ids are each given their component; null ids never
-name a component unless it has no other; an empty table gives no rows; ``keep`` passes all columns through.
+name a component unless it has no other; an empty table gives no rows; ``keep`` passes all columns through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ from . import common
 
 SHINGLE = 3
 SEED = 42
-#: The two halves and the quarters of the code are made for this.
+#: The two halves of the code, and the bytes of the other half, are made for this.
 THRESHOLD = 3
-CROWD = 4096
 _BITS = 31
+#: How many tasks share the documents of one fingerprint in a join, at least.
+SALT = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,17 +101,20 @@ def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint at every anchor of its own, once for each byte of the half that the anchor is not of."""
     for batch in batches:
         own = batch.column("__fingerprint").to_numpy().view(np.uint64)
         who, keys = anchors(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own[who].view(np.int64))], names=["anchor", "fingerprint"])
+        other = own[who] >> np.where(keys >> np.uint64(40), 0, 32).astype(np.uint64)
+        for byte in range(4):
+            value = (other >> np.uint64(8 * byte)) & np.uint64(255)
+            place = (keys << np.uint64(10)) | np.uint64(byte << 8) | value
+            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(own[who].view(np.int64))], names=["anchor", "fingerprint"])
 
 
 def links(points: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: from each (by breadth-first search) to the one that
-    first reached it."""
-    if len(points) > CROWD:
-        return _crowd(points, threshold)
+    first reached it. Compares blocks of 256 with blocks of 16384 at a time."""
     left, right = [], []
     waiting = points
     while len(waiting) > 1:
@@ -117,9 +123,11 @@ def links(points: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, n
             near = np.full(len(waiting), -1)
             for a in range(0, len(front), 256):
                 open_ = np.flatnonzero(near < 0)
-                close = np.bitwise_count(waiting[open_, None] ^ front[None, a : a + 256]) <= threshold
-                hit = close.any(axis=1)
-                near[open_[hit]] = a + close[hit].argmax(axis=1)
+                for b in range(0, len(open_), 1 << 14):
+                    some = open_[b : b + (1 << 14)]
+                    close = np.bitwise_count(waiting[some, None] ^ front[None, a : a + 256]) <= threshold
+                    hit = close.any(axis=1)
+                    near[some[hit]] = a + close[hit].argmax(axis=1)
             found = near >= 0
             left.append(front[near[found]])
             right.append(waiting[found])
@@ -128,24 +136,6 @@ def links(points: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, n
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _crowd(points: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """As links(), among those that share a 16-bit quarter; what is still a crowd is compared in blocks, each with each."""
-    left, right, half = [], [], CROWD // 2
-    for quarter in range(4):
-        value = (points >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
-        order = np.argsort(value, kind="stable")
-        ordered, value = points[order], value[order]
-        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(points)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            blocks = [ordered[c : min(c + half, b)] for c in range(a, b, half)]
-            pairs = [(x, y) for i, x in enumerate(blocks) for y in blocks[i + 1 :]] or [(blocks[0], blocks[0][:0])]
-            for x, y in pairs:
-                one, other = links(np.concatenate([x, y]), threshold)
-                left.append(one)
-                right.append(other)
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor: the links of each anchor."""
     held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -200,37 +190,52 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
-    schema = StructType([*docs.schema.fields]).add("__fingerprint", LongType())
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_fingerprints(docs.columns), schema)
+def linked(distinct: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest, at least, of the links among distinct fingerprints (__fingerprint)."""
+    n = common.parts(distinct.sparkSession)
+    dealt = distinct.select("__fingerprint").repartition(n).mapInArrow(_dealt, "anchor long, fingerprint long")
+    return dealt.repartition(n, "anchor").sortWithinPartitions("anchor", "fingerprint").mapInArrow(_compared, "a long, b long")
 
 
 def _components(prints: DataFrame) -> DataFrame:
     """(fingerprint, root, component_id) of every distinct fingerprint in prints (doc_id, __fingerprint). The root is the
     component's own; with repeated or null ids, two components may have one component_id."""
     least = common.written(prints.groupBy("__fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints")
-    n = common.parts(prints.sparkSession)
-    dealt = least.select("__fingerprint").repartition(n).mapInArrow(_dealt, "anchor long, fingerprint long")
-    found = dealt.repartition(n, "anchor").sortWithinPartitions("anchor", "fingerprint").mapInArrow(_compared, "a long, b long")
-    labels = components(found).toDF("__fingerprint", "root")
+    labels = components(linked(least)).toDF("__fingerprint", "root")
     joined = common.written(least.join(labels, "__fingerprint", "left").select("__fingerprint", F.coalesce("root", "__fingerprint").alias("root"), "least"), "roots")
     first = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     return joined.join(first, "root").select("__fingerprint", F.col("root").alias("__root"), "component_id")
 
 
+def _salted(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """prints joined with what was found of each fingerprint; the rows of a hot one are dealt to SALT tasks."""
+    found = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    return prints.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALT)).cast("int")).join(found, ["__fingerprint", "__salt"])
+
+
+def _fingerprinted(docs: DataFrame) -> DataFrame:
+    """A table of doc_id, fingerprint, tie, number of the row, and the row itself (__whole)."""
+    rows = docs.select(F.struct("*").alias("__whole"), "doc_id", F.col("text").cast("string").alias("__text"))
+    names = ["__whole", "doc_id"]
+    schema = StructType([rows.schema[c] for c in names]).add("__fingerprint", LongType())
+    tied = rows.mapInArrow(_fingerprints(names), schema).withColumn("__row", F.monotonically_increasing_id())
+    return common.written(tied, "simhash")
+
+
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every document."""
-    prints = common.written(_with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "__fingerprint"), "simhash")
-    found = _components(prints)
-    return prints.join(found, "__fingerprint").select("doc_id", F.lower(F.lpad(F.hex("__fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = _fingerprinted(docs.select("doc_id", "text")).select("doc_id", "__fingerprint", "__row")
+    found = _salted(prints, _components(prints).select("__fingerprint", "component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("__fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The document of least id of each component, its columns unchanged; of rows with that very id, the one whose text
     has the least hash."""
-    rows = common.written(_with_fingerprint(docs).withColumn("__row", F.monotonically_increasing_id()), "simhash")
-    small = rows.select("doc_id", "__fingerprint", F.xxhash64("text").alias("__tie"), "__row")
-    found = small.join(_components(small.select("doc_id", "__fingerprint")), "__fingerprint")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__tie", "__row")
-    first = found.groupBy("__root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    rows = _fingerprinted(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("__whole.text").alias("tie"), "__row")
+    # one row for each fingerprint before any join
+    small = rows.groupBy("__fingerprint").agg(F.min(order).alias("first"))
+    found = small.join(_components(rows.select("doc_id", "__fingerprint")), "__fingerprint")
+    first = found.groupBy("__root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select("__whole.*")
