@@ -5,10 +5,13 @@ Every shingle (``SHINGLE`` words; a text of fewer words is one shingle) is hashe
 order of all bins (optimal densification). The low ``BITS`` bits of each bin are the fingerprint, in hex; likeness is the
 share of equal bins, corrected for those equal by chance (2^-BITS).
 
-All of it happens within a row; only ``edited`` shuffles, once, by ranges of ids. Null text counts as empty; the empty
-text has one empty shingle, so that two empty texts are alike; equal texts have equal fingerprints; repeated rows and
-ids each give a row (ordered by id, then hash of the text); null ids come last in descending order; an empty table gives
-no rows; other columns are ignored.
+All of it happens within a row; only ``edited`` shuffles texts, once, by ranges of id and hash of the text, whose bounds
+come from the ids and hashes alone: sparse, repeated and null ids are cut into even ranges like dense ones. Each range
+also gets the first row of the range that follows, so that every row finds its next one within its range. Null text
+counts as empty; the empty text has one empty shingle, so that two empty texts are alike; equal texts have equal
+fingerprints; repeated rows and ids each give a row (ordered by id, then hash of the text); null ids come last in
+descending order; an empty table gives no rows; other columns are ignored. Rows that are equal in id and text are not
+told apart, so they are one range at least.
 """
 
 from __future__ import annotations
@@ -26,9 +29,8 @@ SHINGLE = 5
 BINS = 128
 BITS = 8
 _SHIFT = 64 - (BINS.bit_length() - 1)
-#: Ids of one bucket, whose neighbours are found within one partition.
-BUCKET = 256
-_NO_ID = -(1 << 62)
+#: Ranges of ids for each partition of a shuffle; as many keys go to the driver and to every task, whatever the table.
+RANGES = 4
 
 
 def _orders() -> Column:
@@ -68,30 +70,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same - chance) / (1 - chance))
 
 
-def _following(buckets: DataFrame) -> DataFrame:
-    """For each bucket, the next lower one that has rows; for the lowest, the highest."""
-    wide = 4096
-    buckets = buckets.withColumn("block", F.floor(F.col("bucket") / wide))
-    inside = buckets.withColumn("below", F.lag("bucket").over(Window.partitionBy("block").orderBy("bucket")))
-    # one row for a million ids: few enough for one task
-    blocks = buckets.groupBy("block").agg(F.max("bucket").alias("highest"))
-    blocks = blocks.select("block", F.lag("highest").over(Window.orderBy("block")).alias("lower"), F.max("highest").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
-    return inside.join(blocks, "block").select("bucket", F.coalesce("below", "lower", "top").alias("following"))
+def _place(doc_id: Column, tie: Column) -> Column:
+    """Greatest first is the order of the rows: descending ids, null ids last, descending hashes."""
+    return F.struct(doc_id.isNotNull().alias("known"), doc_id.alias("doc_id"), tie.alias("tie"))
+
+
+def _ranges(rows: DataFrame) -> list[tuple[dict, dict]]:
+    """The first and last place of even ranges of the rows (doc_id, tie), in order."""
+    n = RANGES * common.parts(rows.sparkSession)
+    dealt = rows.select("doc_id", "tie").repartitionByRange(n, F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    place = _place(F.col("doc_id"), F.col("tie"))
+    found = dealt.withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.max(place).alias("first"), F.min(place).alias("last")).collect()
+    return [(r["first"].asDict(), r["last"].asDict()) for r in sorted(found, key=lambda r: r["range"])]
+
+
+def _range_of(lasts: list[dict], kind: str) -> Column:
+    """How many of the ranges' last places the row comes after, by binary search."""
+    if not lasts:
+        return F.lit(0)
+    bounds = F.from_json(F.lit(json.dumps(lasts, default=str)), f"array<struct<known:boolean,doc_id:{kind},tie:bigint>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(lasts).bit_length()))))
+    after = lambda at: (at <= len(lasts)) & (_place(F.col("doc_id"), F.col("tie")) < F.get(bounds, at - 1))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(after(at + step), at + step).otherwise(at))
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the last third replaced by the start of the next document (by
     descending id; after the last, the first), and the likeness of its own to that and to the next document's."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(_NO_ID)).cast("bigint")
-    rows = with_fingerprint(rows, "text", "own").select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text", "own")
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
-    rows = rows.select("*", F.row_number().over(order).alias("place"), F.lead(F.struct("text", "own")).over(order).alias("next"))
-    first = rows.filter("place = 1").select(F.col("bucket").alias("following"), F.struct("text", "own").alias("first"))
-    buckets = docs.select(bucket.alias("bucket")).distinct()
-    first = first.join(_following(buckets), "following").select("bucket", "first")
-    last = rows.filter("next is null").drop("next").join(first, "bucket").withColumnRenamed("first", "next")
-    both = rows.filter("next is not null").select("doc_id", "text", "own", "next").unionByName(last.select("doc_id", "text", "own", "next"))
+    text, kind = F.coalesce(F.col("text").cast("string"), F.lit("")), docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
+    ranges = _ranges(rows)
+    begins = [first for first, _ in ranges]
+    guests = [(i, x["doc_id"], x["tie"]) for i, x in enumerate(begins[1:] + begins[:1])]
+    guests = docs.sparkSession.createDataFrame(guests, f"range int, guest_id {kind}, guest_tie bigint")
+    found = rows.join(guests, rows["doc_id"].eqNullSafe(guests["guest_id"]) & (rows["tie"] == guests["guest_tie"]))
+    found = found.select("range", "doc_id", "text", "tie").dropDuplicates(["range"]).withColumn("guest", F.lit(1))
+    own = rows.select(_range_of([last for _, last in ranges], kind).alias("range"), "doc_id", "text", "tie", F.lit(0).alias("guest"))
+    both = with_fingerprint(own.unionByName(found).repartition("range"), "text", "own")
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    both = both.withColumn("next", F.lead(F.struct("text", "own")).over(order)).filter("guest = 0")
     cut = F.floor(F.length("text") / 3).cast("int")
     text = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next.text"), F.lit(1), cut))
     both = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "own", F.col("next.own").alias("after"), text.alias("edited"))
