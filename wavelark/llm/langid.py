@@ -2,12 +2,14 @@
 
 Text is lower-cased and split at white space; the n-grams (1 to 3 code points, a word's ends marked by a space) of each
 word fall into ``BUCKETS`` buckets. Training counts are added up by language and bucket in Spark; the matrix of log
-probabilities has languages * BUCKETS cells, whatever the size of the corpus, and goes to all tasks. Each task scores
+probabilities has languages * BUCKETS cells, whatever the size of the corpus, and goes to all tasks; of the languages the
+``LANGUAGES`` with most documents are learned, so that dirty labels cannot make it grow. Each task scores
 every distinct word once, as a sparse sum over the matrix, and adds the words of each document.
 
 ``keep`` learns from all labelled documents, ``predict`` from all but the held-out ones. As the posterior of a long text is
 1 whatever its language, ``keep`` also asks how usual a text is: the mean log probability of its n-grams in the language it
-is told to be in, measured by their mean and standard deviation in what was learned of that language. Null text, and text without a letter, is ``und`` with score 0, as is every text
+is told to be in, measured by their mean and standard deviation in what was learned of that language; and it may be given
+the languages that are wanted. Null text, and text without a letter, is ``und`` with score 0, as is every text
 where nothing could be learned; repeated rows are each scored; an empty table gives no rows; ``keep`` passes all columns
 through. The label never enters a prediction.
 """
@@ -31,6 +33,8 @@ UNKNOWN = "und"
 MIN_SCORE = 0.5
 #: ``keep`` drops what is less usual, in standard deviations of an n-gram from the mean of the language.
 MIN_USUAL = -1.0
+#: Languages learned, at most; the matrix takes 256 KB for each.
+LANGUAGES = 256
 #: Distinct words held at a time.
 VOCABULARY = 100_000
 #: Odd multipliers of the hash, one for each position.
@@ -151,6 +155,8 @@ def learn(docs: DataFrame, folds: int = 4, held: int | None = 2) -> Model:
     """Learn from the labelled documents whose crc32(doc_id) mod folds is not held; from all if held is None."""
     told = F.col("lang").isNotNull()
     rows = docs.filter(told if held is None else told & (F.crc32(common.id_text()) % folds != held)).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = rows.filter(F.col("lang").isin([r.lang for r in most.collect()]))
     counts = rows.mapInArrow(_learn, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     table = np.zeros((BUCKETS, len(langs)))
@@ -166,27 +172,31 @@ def learn(docs: DataFrame, folds: int = 4, held: int | None = 2) -> Model:
 def _predictor(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = model.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], names=names)
+            langs, score, usual = model.rated(batch.column("text").to_pylist())
+            found = [pa.array(langs, pa.string()), pa.array(score), pa.array(usual, mask=np.isinf(usual))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *found], names=names)
 
     return run
 
 
 def predict(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (posterior probability) of every document."""
+    """doc_id, held_out, lang_pred, score (posterior probability) and usual (how usual the text is in that language, in
+    standard deviations; null for und) of every document."""
     model = learn(docs, folds, held)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.crc32(common.id_text()) % folds == held).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predictor(model, ["doc_id", "held_out", "lang_pred", "score"]), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(model, ["doc_id", "held_out", "lang_pred", "score", "usual"]), f"doc_id {kind}, held_out boolean, lang_pred string, score double, usual double")
 
 
-def keep(docs: DataFrame, min_score: float = MIN_SCORE, min_usual: float = MIN_USUAL) -> DataFrame:
-    """The documents in a language that was learned, told with at least min_score and at least min_usual for it."""
+def keep(docs: DataFrame, languages: tuple[str, ...] | None = None, min_score: float = MIN_SCORE, min_usual: float = MIN_USUAL) -> DataFrame:
+    """The documents in one of the languages (in any that was learned, if None), told with at least min_score and at least
+    min_usual for it."""
     model = learn(docs, held=None)
+    wanted = set(model.langs if languages is None else languages) - {UNKNOWN}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score, usual = model.rated(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score and u >= min_usual for x, s, u in zip(langs, score, usual, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([x in wanted and s >= min_score and u >= min_usual for x, s, u in zip(langs, score, usual, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
