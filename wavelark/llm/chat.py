@@ -3,16 +3,17 @@
 A pair is a chosen and a rejected conversation. Their longest common prefix of turns (same role and text) is rendered
 once, as the prompt; what follows on each side is its completion, with the spans of characters that a model is to learn:
 the assistant's words and the mark that closes them. Nothing but the conversations themselves is gathered, each into the
-one row that it becomes.
+one row that it becomes; neighbours are gathered in one shuffle, by what their ids have in common.
 
 A null role or text counts as empty; turns are ordered by number (nulls first), role and text, repeated rows included;
-rows without a conversation id make up one conversation; if one side has no turns left its completion is empty; an empty
-table gives no rows; other columns are ignored.
+rows without a conversation id belong to no common conversation, each is one of a single turn and has no neighbour; if
+one side has no turns left its completion is empty; an empty table gives no rows; other columns of turns are ignored.
+``formatted`` passes the columns of pairs through, and replaces those that have the name of one that it adds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The role whose words are learned.
@@ -21,11 +22,16 @@ LEARNED = "assistant"
 OPEN, OPENED, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
+_TURN = "struct<role:string,text:string>"
+
+
 def gathered(turns: DataFrame) -> DataFrame:
-    """conv_id and its turns, an ordered array of (role, text)."""
-    one = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    out = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    return out.select("conv_id", F.transform("turns", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
+    """conv_id, its pair (the id without its lowest bit) and its turns, an ordered array of (role, text); conversations of
+    a pair are in one partition."""
+    turns = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    known = turns.filter("conv_id IS NOT NULL").withColumn("pair", F.shiftright("conv_id", 1)).repartition("pair")
+    out = known.groupBy("pair", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return out.select("pair", "conv_id", F.transform("turns", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
 
 
 def _render(turn: Column) -> Column:
@@ -65,10 +71,13 @@ def answered_by_neighbours(turns: DataFrame) -> DataFrame:
     """A pair for each conversation: chosen as it is; rejected with the last answer of the assistant, and what follows,
     replaced by the last answer in the conversation whose id differs in the lowest bit (by nothing if that has none)."""
     convs = gathered(turns)
-    t = F.col("turns")
-    at = F.array_max(F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i)["role"] == LEARNED))
-    convs = convs.withColumn("at", at)
-    answers = convs.filter("at is not null").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("partner"), F.array(F.get(t, F.col("at"))).alias("answer"))
-    convs = convs.join(answers, convs["conv_id"] == answers["partner"], "left")
-    swapped = F.concat(F.slice(t, F.lit(1), F.col("at")), F.coalesce("answer", F.array().cast("array<struct<role:string,text:string>>")))
+    t, none = F.col("turns"), F.array().cast(f"array<{_TURN}>")
+    last = lambda x: F.array_max(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["role"] == LEARNED))
+    convs = convs.withColumn("at", last(t)).withColumn("answer", F.when(F.col("at").isNotNull(), F.array(F.get(t, F.col("at")))))
+    order = Window.partitionBy("pair").orderBy("conv_id")
+    convs = convs.withColumn("other", F.coalesce(F.lag("answer").over(order), F.lead("answer").over(order))).select("conv_id", "turns", "at", "other")
+    single = F.array(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    alone = turns.filter("conv_id IS NULL").select("conv_id", single.alias("turns"))
+    convs = convs.unionByName(alone.withColumn("at", last(t)).withColumn("other", F.lit(None).cast(f"array<{_TURN}>")))
+    swapped = F.concat(F.slice(t, F.lit(1), F.col("at")), F.coalesce("other", none))
     return convs.select("conv_id", t.alias("chosen"), F.when(F.col("at").isNull(), t).otherwise(swapped).alias("rejected"))

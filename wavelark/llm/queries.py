@@ -23,7 +23,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     out = chat.formatted(chat.answered_by_neighbours(turns))
     learned = lambda side: F.aggregate(f"{side}_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    sides = [c for side in ("chosen", "rejected") for c in (F.length(f"{side}_completion").cast("bigint").alias(f"{side}_chars"), F.md5(f"{side}_completion").alias(f"{side}_md5"), F.size(f"{side}_spans").cast("bigint").alias(f"{side}_answers"), learned(side).alias(f"{side}_learned"))]
+    spans = lambda side: F.array_join(F.transform(f"{side}_spans", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), " ")
+    sides = [c for side in ("chosen", "rejected") for c in (F.length(f"{side}_completion").cast("bigint").alias(f"{side}_chars"), F.md5(f"{side}_completion").alias(f"{side}_md5"), F.size(f"{side}_spans").cast("bigint").alias(f"{side}_answers"), learned(side).alias(f"{side}_learned"), spans(side).alias(f"{side}_spans"))]
     return out.select("conv_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"), *sides)
 
 
@@ -79,7 +80,8 @@ def _quality_sql() -> str:
     moments = ", ".join(f"sum({r}) / sum(n) AS {r}_m, avg(({r} / n) * ({r} / n)) AS {r}_q, avg({r} / n) AS {r}_a" for r in _RULES)
     between = ", ".join(f"{r}_m, {r}_m * (1 - {r}_m) AS {r}_s, {r}_q - 2 * {r}_m * {r}_a + {r}_m * {r}_m - {r}_m * (1 - {r}_m) * noise AS {r}_b" for r in _RULES)
     strength = ", ".join(f"{r}_m, CASE WHEN {r}_b > 0 THEN least(1e6, greatest(1, {r}_s / {r}_b - 1)) ELSE 1e6 END AS {r}_k" for r in _RULES)
-    rates = ", ".join(f"({r} + {r}_m * {r}_k) / (n + {r}_k) AS {r}_rate" for r in _RULES)
+    rates = ", ".join(f"({r} + {r}_m * {r}_k) / (n + {r}_k) AS {r}_rate, {r}_rate + sqrt({r}_rate * (1 - {r}_rate) / (n + {r}_k + 1)) < {r}_m AS {r}_vouched" for r in _RULES)
+    alone = " OR ".join(f"({r} AND NOT {r}_vouched)" for r in _RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
@@ -100,19 +102,23 @@ k AS (SELECT {strength} FROM b),
 s AS (SELECT source, {rates} FROM h, k),
 j AS (
     SELECT f.*, short OR repeats AS base_failed, {" + ".join(f"{r}::INT" for r in _RULES)} AS n_failed,
-        greatest({", ".join(f"CASE WHEN {r} THEN {r}_rate ELSE 0 END" for r in _RULES)}) AS host_rate
+        greatest({", ".join(f"CASE WHEN {r} THEN {r}_rate ELSE 0 END" for r in _RULES)}) AS host_rate, ({alone}) AS alone
     FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_failed::INTEGER AS n_failed, round(host_rate, 6) AS host_rate,
-    NOT base_failed AND n_failed < 2 AND host_rate <= 0.5 AS kept
+    NOT base_failed AND n_failed < 2 AND NOT alone AS kept, NOT base_failed AND n_failed < 2 AND alone AS host_rejected
 FROM j
 """
 
 
 def _chat_sql() -> str:
     rendered = "string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k)"
-    side = lambda x: f"coalesce(length({x}.s), 0)::BIGINT AS {x}_chars, md5(coalesce({x}.s, '')) AS {x}_md5, coalesce({x}.a, 0)::BIGINT AS {x}_answers, coalesce({x}.n, 0)::BIGINT AS {x}_learned"
-    rest = lambda x: f"SELECT conv_id, {rendered} AS s, count(*) FILTER (role = 'assistant') AS a, sum(length(text) + 8) FILTER (role = 'assistant') AS n FROM {x} JOIN p USING (conv_id) WHERE k > prompt_turns GROUP BY conv_id"
+    side = lambda x: f"coalesce(length({x}.s), 0)::BIGINT AS {x}_chars, md5(coalesce({x}.s, '')) AS {x}_md5, coalesce({x}.a, 0)::BIGINT AS {x}_answers, coalesce({x}.n, 0)::BIGINT AS {x}_learned, coalesce({x}.spans, '') AS {x}_spans"
+    # a turn is '<|' role '|>' newline text '<|end|>' newline: its words begin after 5 characters and the role, and end with it
+    upto = "sum(length(role) + length(text) + 13) OVER (PARTITION BY conv_id ORDER BY k)"
+    rest = lambda x: f"""SELECT conv_id, {rendered} AS s, count(*) FILTER (role = 'assistant') AS a, sum(length(text) + 8) FILTER (role = 'assistant') AS n,
+        string_agg((upto - length(text) - 8)::BIGINT || '-' || upto::BIGINT, ' ' ORDER BY k) FILTER (role = 'assistant') AS spans
+    FROM (SELECT conv_id, role, text, k, {upto} AS upto FROM {x} JOIN p USING (conv_id) WHERE k > prompt_turns) GROUP BY conv_id"""
     return f"""
 WITH c AS (
     SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
