@@ -6,6 +6,7 @@ micro-batches, and tells rows that break the rule from the others; ``slice_chang
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.logic import slice_bits
+from ..sources.store import KEYS, META, is_store, meta_row, store_scale, write_changes
 
 
 def _late(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,6 +53,18 @@ def slice_changes(changes: DataFrame, offset: int, width: int) -> DataFrame:
 
 
 def append_to_store(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what there is to a table of changes, sorted within each file; a batch that is written twice counts once."""
-    sink = changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd")
-    return sink.outputMode("append").trigger(availableNow=True).start()
+    """Append what there is to the changes folder of a store (or to any folder). Each batch is a folder of its own, named
+    after the checkpoint and the batch, sorted by stream and time; one that is written again replaces itself, and so
+    does its row in the store's ``meta``, which is written after it."""
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    store = path.rstrip("/").removesuffix("/changes") if path.rstrip("/").endswith("/changes") else None
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        dealt = batch.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+        seen = write_changes(dealt, f"{path}/batch={run}-{number}", "overwrite")
+        if store is not None and is_store(spark, store):
+            row = meta_row(store_scale(spark, store), "changes", seen)
+            spark.createDataFrame([row], META).coalesce(1).write.mode("overwrite").parquet(f"{store}/meta/batch={run}-{number}")
+
+    return changes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
