@@ -179,15 +179,49 @@ def to_bin(bits: Bits) -> Column:
     return _c(bits)
 
 
+#: Bits that to_dec takes at a time where a decimal of Spark cannot hold the value, and the digits of one limb.
+_CHUNK, _LIMB = 29, 9
+
+
+def _limbs_text(bits: Column, add: Column) -> Column:
+    """Decimal digits of bits of any width, plus add (0 or 1): limbs of nine digits, lowest first, times 2^29 plus the
+    next bits, from the top."""
+    n, base = F.length(bits), 10**_LIMB
+    head = F.pmod(n, F.lit(_CHUNK))
+    size = F.ceil(n / _CHUNK).cast("int")
+    padded = F.concat(F.repeat(F.lit("0"), F.pmod(_CHUNK - head, F.lit(_CHUNK)).cast("int")), bits)
+    chunk = lambda i: F.conv(F.substr(padded, i * _CHUNK + 1, F.lit(_CHUNK)), 2, 10).cast("bigint")
+
+    def times(limbs: Column, factor: int, plus: Column) -> Column:
+        begin = F.struct(plus.alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
+        value = lambda s, x: x * factor + s["carry"]
+        end = F.aggregate(limbs, begin, lambda s, x: F.struct(_divided(value(s, x), base).alias("carry"), F.concat(s["limbs"], F.array(value(s, x) % base)).alias("limbs")))
+        return F.when(end["carry"] > 0, F.concat(end["limbs"], F.array(end["carry"]))).otherwise(end["limbs"])
+
+    none = F.array(F.lit(0).cast("bigint"))
+    limbs = F.aggregate(F.sequence(F.lit(0), size - 1), none, lambda s, i: times(s, 1 << _CHUNK, chunk(i)))
+    limbs = times(limbs, 1, add.cast("bigint"))
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), _LIMB, "0")), "")
+    return F.regexp_replace(text, "^0+(?=.)", "")
+
+
+def _divided(x: Column, by: int) -> Column:
+    """Whole quotient of numbers that are not negative: decimals divide exactly where doubles would not."""
+    return ((x - x % by).cast("decimal(20,0)") / F.lit(by).cast("decimal(10,0)")).cast("bigint")
+
+
 def to_dec(bits: Bits, signed: bool = False) -> Column:
-    """Decimal digits of up to 126 bits (null beyond: see to_dec_wide); x if any bit is x or z."""
+    """Decimal digits, of any width; x if any bit is x or z. Up to 126 bits a decimal holds the value, beyond limbs do."""
     b, n = _c(bits), F.length(_c(bits))
     two = F.lit(2).cast("decimal(38,0)")
     sum_of = lambda text: F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0).cast("decimal(38,0)"), lambda a, i: (a * two + F.substr(text, i, F.lit(1)).cast("decimal(1,0)")).cast("decimal(38,0)"))
-    plain = sum_of(b).cast("string")
-    negative = F.concat(F.lit("-"), (sum_of(F.translate(b, "01", "10")) + 1).cast("decimal(38,0)").cast("string"))
-    value = F.when(F.left(b, F.lit(1)) == "1", negative).otherwise(plain) if signed else plain
-    return F.when(n == 0, "").when(~is_two_state(b), "x").when(n > 126, None).otherwise(value)
+    flipped = F.translate(b, "01", "10")
+    short, long = sum_of(b).cast("string"), _limbs_text(b, F.lit(0))
+    if signed:
+        negative = F.left(b, F.lit(1)) == "1"
+        short = F.when(negative, F.concat(F.lit("-"), (sum_of(flipped) + 1).cast("decimal(38,0)").cast("string"))).otherwise(short)
+        long = F.when(negative, F.concat(F.lit("-"), _limbs_text(flipped, F.lit(1)))).otherwise(long)
+    return F.when(n == 0, "").when(~is_two_state(b), "x").when(n > 126, long).otherwise(short)
 
 
 def to_dec_wide(bits: Bits, signed: bool = False) -> Column:
