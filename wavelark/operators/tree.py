@@ -7,18 +7,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
+from .changes import numbered
+
 
 def _levels(roots: DataFrame, children: DataFrame, key: str, grown: dict[str, Column]) -> DataFrame:
-    """roots and all below them; grown: columns of a child from its own and its parent's (as p)."""
-    levels, level = [roots], roots
+    """roots and all below them; grown: columns of a child from its own and its parent's (as p). Each level is written to
+    a scratch table and joined with the one above alone; an id that comes twice on one way down is an error."""
+    spark, columns = roots.sparkSession, roots.columns
+
+    def kept(level: DataFrame) -> DataFrame:
+        path = scratch_dir(spark, "level")
+        level.write.parquet(path)
+        return spark.read.schema(level.schema).parquet(path)
+
+    level = kept(roots.withColumn("way", F.array(F.col(key))))
+    levels = [level]
     while True:
         parents = level.select(F.col(key).alias("parent_id"), F.struct(*level.columns).alias("p"))
-        level = children.join(parents, "parent_id").withColumns(grown).select(*roots.columns)
+        below = children.join(parents, "parent_id").withColumns(grown)
+        below = below.withColumn("way", F.when(F.array_contains("p.way", F.col(key)), F.raise_error(F.concat(F.lit("the tree has a cycle at "), F.col(key).cast("string"))).cast(level.schema["way"].dataType)).otherwise(F.concat("p.way", F.array(F.col(key)))))
+        level = kept(below.select(*columns, "way"))
         if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+            return reduce(DataFrame.unionByName, levels).select(*columns)
         levels.append(level)
 
 
@@ -51,5 +65,4 @@ def find_nodes(asked: DataFrame, paths: DataFrame) -> DataFrame:
 def leaf_order(scopes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that have a stream, below no other such node, numbered depth first."""
     leaves = node_paths(scopes, nodes).filter(F.col("stream_id").isNotNull() & ~F.col("covered"))
-    # one task, of a row per leaf of the design: a total order has no parallel form short of ranges
-    return leaves.withColumn("leaf_ord", F.row_number().over(Window.orderBy("sort_key")).cast("bigint") - 1)
+    return numbered(leaves, "leaf_ord", "sort_key")

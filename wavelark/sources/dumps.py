@@ -24,6 +24,7 @@ from ..database import Database
 from ..errors import WaveError
 from ..hierarchy import Hierarchy
 from ..types import Vector
+from .export import firsts
 from .scratch import scratch_dir
 from .vcd import VcdReader
 
@@ -201,9 +202,10 @@ def write_dump(db: Database, path: str) -> None:
 
     Changes go out by ranges of time, stream and number. A node's name is its path below its scope."""
     spark = db.rows.sparkSession
-    first = F.row_number().over(Window.partitionBy("t").orderBy("stream_id", "seq")) == 1
+    changes = db.rows.join(firsts(db.rows, "stream_id", "seq"), ["t", "stream_id", "seq"], "left")
+    first = F.col("begins").isNotNull()
     value = F.coalesce(F.concat(F.lit("b"), "bits"), F.concat(F.lit("r"), F.col("real").cast("string")), F.concat(F.lit("s"), F.regexp_replace("str", r"\s", "_")))
     line = F.concat(F.when(first, F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"))).otherwise(""), value, F.lit(" s"), F.col("stream_id").cast("string"))
-    rows = db.rows.select(F.lit(1).alias("part"), "t", "stream_id", "seq", line.alias("value"))
+    rows = changes.select(F.lit(1).alias("part"), "t", "stream_id", "seq", line.alias("value"))
     head = spark.createDataFrame([(0, 0, 0, 0, _header(db))], "part int, t bigint, stream_id int, seq bigint, value string")
     head.unionByName(rows).orderBy("part", "t", "stream_id", "seq").select("value").write.mode("errorifexists").text(path)
