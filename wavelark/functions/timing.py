@@ -71,6 +71,42 @@ class TimeRange:
     def hull(self, other: "TimeRange") -> "TimeRange":
         return TimeRange(min(self.begin, other.begin), max(self.end, other.end))
 
+    def columns(self) -> "ColumnRange":
+        return ColumnRange(F.lit(self.begin), F.lit(self.end))
+
+
+@dataclass(frozen=True)
+class ColumnRange:
+    """A range of ticks in each row, with the questions of a TimeRange as columns."""
+
+    begin: Column
+    end: Column
+
+    def empty(self) -> Column:
+        return self.begin >= self.end
+
+    def size(self) -> Column:
+        return F.greatest(F.lit(0).cast("bigint"), self.end - self.begin)
+
+    def contains(self, t: Column) -> Column:
+        return (self.begin <= t) & (t < self.end)
+
+    def overlaps(self, other: "ColumnRange") -> Column:
+        return (self.begin < other.end) & (other.begin < self.end)
+
+    def intersect(self, other: "ColumnRange") -> "ColumnRange":
+        return ColumnRange(F.greatest(self.begin, other.begin), F.least(self.end, other.end))
+
+    def hull(self, other: "ColumnRange") -> "ColumnRange":
+        return ColumnRange(F.least(self.begin, other.begin), F.greatest(self.end, other.end))
+
+    def equals(self, other: "ColumnRange") -> Column:
+        return (self.begin == other.begin) & (self.end == other.end)
+
+    def not_after(self, other: "ColumnRange") -> Column:
+        """By begin, then end."""
+        return (self.begin < other.begin) | (self.begin == other.begin) & (self.end <= other.end)
+
 
 WHOLE = TimeRange(-(1 << 63), (1 << 63) - 1)
 

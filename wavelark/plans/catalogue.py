@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic, timing
-from ..functions.timing import TimeRange
+from ..functions.timing import WHOLE, TimeRange
 from ..operators import changes as ops
 
 #: Times within the events and the line items, in microseconds.
@@ -32,9 +32,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, time: TimeRange = WHOLE) -> DataFrame:
+    """The events as changes. time: what a query needs; its bounds are also on the column as it is stored, so that the
+    scan can use them, which it cannot do with the time that is computed here."""
     b = F.lpad(F.bin(F.round(F.col("value") * 100).cast("bigint").bitwiseAND(65535)), 16, "0")
-    rows = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", b.alias("b"))
+    rows = _read(spark, sf_dir, "events")
+    stored = lambda t: F.timestamp_micros(F.lit(t)).cast(rows.schema["ts"].dataType)
+    if time.begin > WHOLE.begin:
+        rows = rows.filter(F.col("ts") >= stored(time.begin))
+    if time.end < WHOLE.end:
+        rows = rows.filter(F.col("ts") < stored(time.end))
+    rows = rows.select("user_id", "ts", "event_id", b.alias("b"))
     bits = F.concat(F.when(F.col("event_id") % 97 == 0, "zzzz").otherwise(F.left("b", F.lit(4))), F.substr("b", F.lit(5), F.lit(11)), F.when(F.col("event_id") % 64 == 0, "x").otherwise(F.right("b", F.lit(1))))
     return rows.select(F.col("user_id").alias("stream_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("seq"), bits.alias("bits"))
 
@@ -67,7 +75,7 @@ def _scalars(name: str, source: Callable[[SparkSession, str], DataFrame], table:
 
 @_query(f"SELECT stream_id, max(t) AS t, arg_max(bits, (t, seq)) AS bits FROM {_EVENTS} WHERE t <= {EVENTS_AT} GROUP BY stream_id")
 def snapshot_at(spark, sf_dir):
-    return ops.snapshot(events(spark, sf_dir), EVENTS_AT)
+    return ops.snapshot(events(spark, sf_dir, TimeRange(WHOLE.begin, EVENTS_AT + 1)), EVENTS_AT)
 
 
 @_query(f"SELECT stream_id, max(t) AS t, arg_max(bits, (t, seq)) AS bits FROM {_ITEMS} WHERE t <= {ITEMS_AT} GROUP BY stream_id")
@@ -107,17 +115,17 @@ def prev_change_batch(spark, sf_dir):
 
 @_query(_as_of_sql("<"))
 def next_change_batch(spark, sf_dir):
-    return ops.following(events(spark, sf_dir), _probes(spark, sf_dir))
+    return ops.following(events(spark, sf_dir), _probes(spark, sf_dir), bucket=86_400_000_000)
 
 
 @_query(f"SELECT stream_id, min(t) AS t FROM {_EVENTS} WHERE t > {EVENTS_AT} GROUP BY stream_id")
 def next_change(spark, sf_dir):
-    return ops.next_change(events(spark, sf_dir), EVENTS_AT)
+    return ops.next_change(events(spark, sf_dir, TimeRange(EVENTS_AT + 1, WHOLE.end)), EVENTS_AT)
 
 
 @_query(f"SELECT stream_id, max(t) AS t FROM {_EVENTS} WHERE t < {EVENTS_AT} GROUP BY stream_id")
 def prev_change(spark, sf_dir):
-    return ops.prev_change(events(spark, sf_dir), EVENTS_AT)
+    return ops.prev_change(events(spark, sf_dir, TimeRange(WHOLE.begin, EVENTS_AT)), EVENTS_AT)
 
 
 # ranges and slices
@@ -127,14 +135,21 @@ def _in(time: TimeRange) -> str:
     return f"t >= {time.begin} AND t < {time.end}"
 
 
-@_query(f"SELECT stream_id, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)} AND stream_id IN (1, 3, 5, 7)")
-def range_changes(spark, sf_dir):
-    return ops.in_range(events(spark, sf_dir), EVENTS_RANGE, [1, 3, 5, 7])
-
-
 @_query(f"SELECT stream_id, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)}")
 def range_changes_all(spark, sf_dir):
-    return ops.in_range(events(spark, sf_dir), EVENTS_RANGE)
+    return ops.in_range(events(spark, sf_dir, EVENTS_RANGE), EVENTS_RANGE)
+
+
+@_query(f"SELECT stream_id, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)} AND stream_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def range_changes_of_set(spark, sf_dir):
+    """The set of streams is a table: the users that have bought something."""
+    buyers = _read(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("stream_id"))
+    return ops.in_range(events(spark, sf_dir, EVENTS_RANGE), EVENTS_RANGE, buyers)
+
+
+@_query(f"SELECT stream_id, t, seq, bits FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1 AS place FROM {_EVENTS}) WHERE place >= 8 AND place < 24")
+def sub_block(spark, sf_dir):
+    return ops.sub_block(events(spark, sf_dir), 8, 24, bucket=86_400_000_000)
 
 
 def _slices(spark, sf_dir):
@@ -157,7 +172,7 @@ def _changed_sql(rows: str) -> str:
 
 @_query(f"SELECT slice, stream_id, t, seq, bits FROM {_changed_sql(_sliced_sql(_EVENTS))} WHERE p IS DISTINCT FROM bits AND {_in(EVENTS_RANGE)}")
 def slice_changes(spark, sf_dir):
-    return ops.slice_changes(events(spark, sf_dir), _slices(spark, sf_dir), EVENTS_RANGE)
+    return ops.slice_changes(events(spark, sf_dir, TimeRange(WHOLE.begin, EVENTS_RANGE.end)), _slices(spark, sf_dir), EVENTS_RANGE)
 
 
 def _low(spark, sf_dir):
@@ -170,7 +185,7 @@ _LOW_SETTLED = f"(SELECT slice, stream_id, t, max(seq) AS seq, arg_max(bits, seq
 
 @_query(f"SELECT slice, stream_id, t, seq, bits FROM {_changed_sql(_LOW_ROWS)} WHERE p IS DISTINCT FROM bits AND {_in(ITEMS_RANGE)}")
 def slice_changes_repeated_times(spark, sf_dir):
-    return ops.slice_changes(items(spark, sf_dir), _low(spark, sf_dir), ITEMS_RANGE)
+    return ops.slice_changes(items(spark, sf_dir), _low(spark, sf_dir), ITEMS_RANGE, bucket=10_000_000_000_000)
 
 
 @_query(f"SELECT slice, min(t) AS t FROM {_changed_sql(_LOW_SETTLED)} WHERE p IS DISTINCT FROM bits AND t > {ITEMS_AT} GROUP BY slice")
@@ -190,40 +205,11 @@ def settled_values(spark, sf_dir):
 
 @_query(f"SELECT *, lead(t) OVER (PARTITION BY stream_id ORDER BY t) AS t_end FROM (SELECT stream_id, t, max(seq) AS seq, arg_max(bits, seq) AS bits FROM {_ITEMS} GROUP BY stream_id, t)")
 def hold_intervals(spark, sf_dir):
-    return ops.held(items(spark, sf_dir))
+    return ops.held(items(spark, sf_dir), bucket=10_000_000_000_000)
 
 
 # merges
 
-#: Streams asked for, by place; one twice, one unknown.
-REQUEST = (5, 2, 5, -1, 9, 7)
-
-
-@_query(f"SELECT r.source, c.stream_id, c.t, c.seq, c.bits FROM {_EVENTS} c JOIN (VALUES {', '.join(f'({i}, {s})' for i, s in enumerate(REQUEST))}) r(source, stream_id) USING (stream_id)")
-def merge_tagged(spark, sf_dir):
-    request = spark.createDataFrame(list(enumerate(REQUEST)), "source int, stream_id long")
-    return ops.merged(events(spark, sf_dir), request)
-
-
-@_query(f"SELECT 0 AS source, t, seq, bits FROM {_EVENTS} WHERE stream_id = 3 AND {_in(EVENTS_RANGE)} UNION ALL SELECT 1, t, seq, bits FROM {_changed_sql(_sliced_sql(_EVENTS))} WHERE slice = '4.cmd' AND p IS DISTINCT FROM bits AND {_in(EVENTS_RANGE)}")
-def mixed_merge(spark, sf_dir):
-    plain = spark.createDataFrame([(0, 3)], "source int, stream_id long")
-    slices = spark.createDataFrame([(1, "4.cmd", 4, 4, 3)], "source int, slice string, stream_id long, slice_offset int, slice_width int")
-    return ops.mixed(events(spark, sf_dir), plain, slices, EVENTS_RANGE)
-
-
-@_query(f"""SELECT source, t, seq, CASE WHEN t IS DISTINCT FROM lag(t) OVER (ORDER BY t, source, seq) THEN '#' || t END AS header, 'b' || bits || ' s' || source AS line
-    FROM (SELECT stream_id - 1 AS source, t, seq, bits FROM {_EVENTS} WHERE stream_id BETWEEN 1 AND 8)""")
-def export_lines(spark, sf_dir):
-    from ..sources.export import change_lines
-
-    request = spark.createDataFrame([(i, i + 1) for i in range(8)], "source long, stream_id long")
-    return change_lines(ops.merged(events(spark, sf_dir), request))
-
-
-# the same of whole tables: every stream is asked for
-
-
 def _streams(spark, sf_dir):
     return events(spark, sf_dir).select("stream_id").distinct()
 
@@ -231,31 +217,34 @@ def _streams(spark, sf_dir):
 _STREAMS = "(SELECT DISTINCT user_id AS stream_id FROM events)"
 
 
-@_query(f"""SELECT r.source, c.stream_id, c.t, c.seq, c.bits FROM {_EVENTS} c
+@_query(f"""SELECT r.source, c.stream_id, c.t, c.seq, c.bits, row_number() OVER (ORDER BY c.t, r.source, c.seq) - 1 AS ord FROM {_EVENTS} c
     JOIN (SELECT 2 * stream_id AS source, stream_id FROM {_STREAMS} UNION ALL SELECT 2 * stream_id + 1, stream_id FROM {_STREAMS} WHERE stream_id % 3 = 0 UNION ALL SELECT -2, -1) r USING (stream_id)""")
 def merge_tagged_all(spark, sf_dir):
     """Every stream, each third one twice, and one that is unknown."""
     streams = _streams(spark, sf_dir)
     twice = streams.filter("stream_id % 3 = 0").select((2 * F.col("stream_id") + 1).alias("source"), "stream_id")
     unknown = spark.range(1).select(F.lit(-2).cast("bigint").alias("source"), F.lit(-1).cast("bigint").alias("stream_id"))
-    return ops.merged(events(spark, sf_dir), streams.select((2 * F.col("stream_id")).alias("source"), "stream_id").union(twice).union(unknown))
+    merged = ops.merged(events(spark, sf_dir), streams.select((2 * F.col("stream_id")).alias("source"), "stream_id").union(twice).union(unknown))
+    return ops.numbered(merged, "ord")
 
 
-@_query(f"""SELECT 5 * stream_id AS source, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)}
-    UNION ALL SELECT 5 * stream_id + CASE split_part(slice, '.', 2) {' '.join(f"WHEN '{n}' THEN {k}" for k, (n, _, _) in enumerate(FIELDS, 1))} END, t, seq, bits FROM {_changed_sql(_sliced_sql(_EVENTS))} WHERE p IS DISTINCT FROM bits AND {_in(EVENTS_RANGE)}""")
+@_query(f"""SELECT *, row_number() OVER (ORDER BY t, source, seq) - 1 AS ord FROM (SELECT 5 * stream_id AS source, t, seq, bits FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)}
+    UNION ALL SELECT 5 * stream_id + CASE split_part(slice, '.', 2) {' '.join(f"WHEN '{n}' THEN {k}" for k, (n, _, _) in enumerate(FIELDS, 1))} END, t, seq, bits FROM {_changed_sql(_sliced_sql(_EVENTS))} WHERE p IS DISTINCT FROM bits AND {_in(EVENTS_RANGE)})""")
 def mixed_merge_all(spark, sf_dir):
     """Every stream, and every field of every stream."""
     plain = _streams(spark, sf_dir).select((5 * F.col("stream_id")).alias("source"), "stream_id")
     place = F.array_position(F.array(*(F.lit(n) for n, _, _ in FIELDS)), F.substring_index("slice", ".", -1))
     slices = _slices(spark, sf_dir).withColumn("source", 5 * F.col("stream_id") + place)
-    return ops.mixed(events(spark, sf_dir), plain, slices, EVENTS_RANGE)
+    return ops.numbered(ops.mixed(events(spark, sf_dir, TimeRange(WHOLE.begin, EVENTS_RANGE.end)), plain, slices, EVENTS_RANGE), "ord")
 
 
-@_query(f"SELECT stream_id AS source, t, seq, CASE WHEN t IS DISTINCT FROM lag(t) OVER (ORDER BY t, stream_id, seq) THEN '#' || t END AS header, 'b' || bits || ' s' || stream_id AS line FROM {_EVENTS}")
+@_query(f"""SELECT stream_id AS source, t, seq, CASE WHEN t IS DISTINCT FROM lag(t) OVER (ORDER BY t, stream_id, seq) THEN '#' || t END AS header, 'b' || bits || ' s' || stream_id AS line,
+    row_number() OVER (ORDER BY t, stream_id, seq) - 1 AS ord FROM {_EVENTS}""")
 def export_lines_all(spark, sf_dir):
     from ..sources.export import change_lines
 
-    return change_lines(ops.merged(events(spark, sf_dir), _streams(spark, sf_dir).select(F.col("stream_id").alias("source"), "stream_id")))
+    lines = change_lines(ops.merged(events(spark, sf_dir), _streams(spark, sf_dir).select(F.col("stream_id").alias("source"), "stream_id")))
+    return ops.numbered(lines, "ord")
 
 
 @_query(f"SELECT stream_id, t, bits FROM {_EVENTS}")
@@ -313,17 +302,17 @@ def time_range(spark, sf_dir):
 
 @_query(f"SELECT stream_id, count(*) AS n FROM {_EVENTS} WHERE {_in(EVENTS_RANGE)} GROUP BY stream_id")
 def density(spark, sf_dir):
-    return ops.density(events(spark, sf_dir), EVENTS_RANGE)
+    return ops.density(events(spark, sf_dir, EVENTS_RANGE), EVENTS_RANGE)
 
 
 @_query(f"SELECT stream_id, block, min(t) AS t_begin, max(t) AS t_end, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY stream_id ORDER BY t, seq) - 1) // 16 AS block FROM {_EVENTS}) GROUP BY stream_id, block")
 def block_index(spark, sf_dir):
-    return ops.blocks(events(spark, sf_dir), 16)
+    return ops.blocks(events(spark, sf_dir), 16, bucket=86_400_000_000)
 
 
 @_query(f"SELECT stream_id, t, seq, bits, before_t FROM (SELECT *, lag(t) OVER (PARTITION BY stream_id ORDER BY seq, t) AS before_t FROM {_ITEMS}) WHERE t < before_t")
 def validate_monotonic(spark, sf_dir):
-    return ops.unsorted(items(spark, sf_dir))
+    return ops.unsorted(items(spark, sf_dir), bucket=100_000)
 
 
 def _declared(spark, sf_dir):
@@ -332,9 +321,12 @@ def _declared(spark, sf_dir):
     return s.select("stream_id", F.lit("logic").alias("kind"), F.when(F.col("stream_id") % 2 == 0, 16).otherwise(8).alias("width"))
 
 
-@_query(f"SELECT stream_id, t, seq, bits, CASE WHEN stream_id % 3 = 0 THEN 'wrong width' ELSE 'unknown stream' END AS rule FROM {_EVENTS} WHERE stream_id % 2 <> 0")
+@_query(f"""SELECT *, CASE WHEN t IS NULL THEN 'no time' WHEN stream_id % 2 <> 0 AND stream_id % 3 <> 0 THEN 'unknown stream' WHEN bits IS NULL THEN 'wrong kind' ELSE 'wrong width' END AS rule
+    FROM (SELECT stream_id, CASE WHEN seq % 11 <> 0 THEN t END AS t, seq, CASE WHEN seq % 13 <> 0 THEN bits END AS bits FROM {_EVENTS}) WHERE t IS NULL OR stream_id % 2 <> 0 OR bits IS NULL""")
 def validate_streams(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumns({"real": F.lit(None).cast("double"), "str": F.lit(None).cast("string")})
+    """Each 11th row has no time, and each 13th a real in place of bits."""
+    rows = events(spark, sf_dir).withColumn("t", F.when(F.col("seq") % 11 != 0, F.col("t"))).withColumn("real", F.when(F.col("seq") % 13 == 0, 1.5))
+    rows = rows.withColumn("bits", F.when(F.col("real").isNull(), F.col("bits"))).withColumn("str", F.lit(None).cast("string"))
     return ops.violations(rows, _declared(spark, sf_dir)).drop("real", "str")
 
 
@@ -372,6 +364,14 @@ _wide = "list_reduce(list_transform(range(97), lambda i: substr('0' || repeat(bi
 _wide_sql = lambda signed: f"CASE WHEN regexp_matches(bits, '[xz]') THEN 'x' ELSE ({_wide}{' - CASE WHEN left(bits, 1) = $$1$$ THEN 1::HUGEINT << 96 ELSE 0 END' if signed else ''})::VARCHAR END"
 _repeated = lambda: F.repeat("bits", F.lit(6))
 _scalars("radix_dec_wide", events, _EVENTS, {f"{name}_{sign}": (lambda f=f, signed=sign == "signed": f(_repeated(), signed), _wide_sql(sign == "signed")) for name, f in (("jvm", logic.to_dec), ("python", logic.to_dec_wide)) for sign in ("unsigned", "signed")})
+_doubled = "list_reduce(list_concat([[0 FOR i IN range(44)]], [[c::INT] FOR c IN string_split({0}, '')]), lambda d, b: [(2 * d[i]) % 10 + CASE WHEN i = 1 THEN b[1] WHEN d[i - 1] >= 5 THEN 1 ELSE 0 END FOR i IN range(1, 45)])"
+_digits_sql = lambda bits: f"regexp_replace(array_to_string(list_reverse({_doubled.format(bits)}), ''), '^0+(.)', '\\1')"
+# the magnitude of a negative number: all bits above its lowest 1 are flipped
+_magnitude = "(translate(regexp_extract(w, '^(.*)10*$', 1), '01', '10') || regexp_extract(w, '(10*)$', 1))"
+_found["radix_dec_long"] = (
+    lambda spark, sf_dir: events(spark, sf_dir).select("seq", logic.to_dec(F.repeat("bits", F.lit(9))).alias("plain"), logic.to_dec(F.repeat("bits", F.lit(9)), signed=True).alias("signed")),
+    f"SELECT seq, CASE WHEN x THEN 'x' ELSE {_digits_sql('w')} END AS plain, CASE WHEN x THEN 'x' WHEN left(w, 1) = '1' THEN '-' || {_digits_sql(_magnitude)} ELSE {_digits_sql('w')} END AS signed FROM (SELECT seq, regexp_matches(bits, '[xz]') AS x, translate(repeat(bits, 9), 'xz', '00') AS w FROM {_EVENTS})",
+)
 _scalars("to_uint64", events, _EVENTS, {"n": (lambda: logic.to_uint64("bits").cast("bigint"), f"CASE WHEN NOT regexp_matches(bits, '[xz]') THEN {_number} END")})
 _scalars("bit_test", events, _EVENTS, {"b0": (lambda: logic.get("bits", 0), "right(bits, 1)"), "b15": (lambda: logic.test("bits", 15), "left(bits, 1)"), "b16": (lambda: logic.get("bits", 16), "'x'")})
 _scalars("bit_set_flip", events, _EVENTS, {"s": (lambda: logic.set_bit("bits", 3), "left(bits, 12) || '1' || right(bits, 3)"), "r": (lambda: logic.reset_bit("bits", 0), "left(bits, 15) || '0'"), "f": (lambda: logic.flip_bit("bits", 15), "translate(left(bits, 1), '01z', '10x') || right(bits, 15)")})
@@ -410,8 +410,17 @@ def timescale_format(spark, sf_dir):
 
 @_query("SELECT l_orderkey, l_partkey, l_linenumber, greatest(b, 20) AS begins, least(e, 30) AS ends, b < 30 AND 20 < e AS overlap, least(b, 20) AS hull_begin, greatest(e, 30) AS hull_end FROM (SELECT *, l_quantity::BIGINT AS b, l_quantity::BIGINT + l_linenumber AS e FROM lineitem)")
 def range_algebra(spark, sf_dir):
-    b, e = F.col("l_quantity").cast("bigint"), F.col("l_quantity").cast("bigint") + F.col("l_linenumber")
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.greatest(b, F.lit(20)).alias("begins"), F.least(e, F.lit(30)).alias("ends"), ((b < 30) & (e > 20)).alias("overlap"), F.least(b, F.lit(20)).alias("hull_begin"), F.greatest(e, F.lit(30)).alias("hull_end"))
+    b = F.col("l_quantity").cast("bigint")
+    own, other = timing.ColumnRange(b, b + F.col("l_linenumber")), TimeRange(20, 30).columns()
+    both, hull = own.intersect(other), own.hull(other)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", both.begin.alias("begins"), both.end.alias("ends"), own.overlaps(other).alias("overlap"), hull.begin.alias("hull_begin"), hull.end.alias("hull_end"))
+
+
+@_query("SELECT l_orderkey, l_partkey, l_linenumber, greatest(0, e - b) AS size, b >= e AS is_empty, b <= 25 AND 25 < e AS has, b = 20 AND e = 30 AS same, (b, e) <= (20, 30) AS not_after FROM (SELECT *, l_quantity::BIGINT AS b, l_quantity::BIGINT + l_linenumber - 3 AS e FROM lineitem)")
+def range_questions(spark, sf_dir):
+    b = F.col("l_quantity").cast("bigint")
+    own, other = timing.ColumnRange(b, b + F.col("l_linenumber") - 3), TimeRange(20, 30).columns()
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", own.size().alias("size"), own.empty().alias("is_empty"), own.contains(F.lit(25)).alias("has"), own.equals(other).alias("same"), own.not_after(other).alias("not_after"))
 
 
 # hierarchy: region, nation, customer
