@@ -13,10 +13,11 @@ from .database import CHANGES, Database
 from .errors import WaveError
 from .functions.timing import TimeScale
 from .hierarchy import Hierarchy
+from .sources.scratch import scratch_dir
 from .types import Array, Struct, Type, stream_kind
 
 #: Value changes held as Python rows before they become an Arrow table.
-BATCH = 1 << 16
+BATCH = 1 << 19
 
 
 class Builder:
@@ -27,7 +28,7 @@ class Builder:
         self.streams: dict[int, tuple[str, int]] = {}
         self._scope, self._time, self._seq = [0], 0, 0
         self._rows: list[tuple] = []
-        self._tables: list = []
+        self._folder: str | None = None
 
     def set_time_scale(self, scale: TimeScale) -> None:
         self.scale = scale
@@ -97,26 +98,29 @@ class Builder:
         self._rows.append((stream, self._time, self._seq, bits, float(value) if kind == "real" else None, value if kind == "string" else None))
         self._seq += 1
         if len(self._rows) >= BATCH:
-            self._flush()
+            self.relieve()
 
-    def _flush(self) -> None:
+    def relieve(self) -> None:
+        """Write the changes that are held here, which are never more than BATCH, to a scratch table."""
         import pyarrow as pa
 
-        if self._rows:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string())
-            columns = [pa.array(c, k) for c, k in zip(zip(*self._rows, strict=True), kinds, strict=True)]
-            self._tables.append(pa.table(columns, names=["stream_id", "t", "seq", "bits", "real", "str"]))
-            self._rows = []
+        if not self._rows:
+            return
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string())
+        columns = [pa.array(c, k) for c, k in zip(zip(*self._rows, strict=True), kinds, strict=True)]
+        held = pa.table(columns, names=["stream_id", "t", "seq", "bits", "real", "str"])
+        self._folder = self._folder or scratch_dir(self.spark, "changes")
+        self.spark.createDataFrame(held).coalesce(1).write.mode("append").option("compression", "zstd").parquet(self._folder)
+        self._rows = []
 
     def finish(self) -> None:
-        self._flush()
+        """What a builder was given is in a table from here on."""
+        self.relieve()
 
     def changes(self) -> DataFrame:
-        import pyarrow as pa
-
-        if not self._tables:
+        if self._folder is None:
             return self.spark.createDataFrame([], CHANGES)
-        return self.spark.createDataFrame(pa.concat_tables(self._tables)).to(self.spark.createDataFrame([], CHANGES).schema)
+        return self.spark.read.schema(CHANGES).parquet(self._folder)
 
     def take_database(self) -> Database:
         return Database(self.hierarchy, self.changes(), self.streams, self.scale)
