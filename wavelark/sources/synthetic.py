@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 #: Ticks between changes, and the percentage of streams up to which they hold.
 PERIODS = ((2, 2), (8, 10), (64, 40), (1024, 100))
 WIDTHS = (1, 8, 16, 32, 64)
+REAL_EVERY = 64
 
 
 def waveform(spark: SparkSession, streams: int = 1024, ticks: int = 200_000, seed: int = 1) -> DataFrame:
-    """stream_id, t, seq, bits: about 5.2 million changes at the given size."""
+    """stream_id, t, seq, bits, real, str: about 5.2 million changes at the given size; one stream of each REAL_EVERY is of
+    reals, and the one after it of strings."""
     share = F.col("stream_id") * 100 / streams
     period = F.when(share < PERIODS[0][1], PERIODS[0][0])
     for ticks_apart, upto in PERIODS[1:]:
@@ -23,7 +25,11 @@ def waveform(spark: SparkSession, streams: int = 1024, ticks: int = 200_000, see
     draw = F.xxhash64("stream_id", "t", F.lit(seed))
     bits = F.right(F.lpad(F.bin(draw), 64, "0"), F.col("width"))
     bits = F.when(F.pmod(draw, F.lit(997)) == 0, F.repeat(F.lit("x"), F.col("width"))).otherwise(bits)
-    return rows.select("stream_id", "t", (F.col("t") * streams + F.col("stream_id")).alias("seq"), bits.alias("bits"))
+    kind = F.col("stream_id") % REAL_EVERY
+    real = F.when(kind == REAL_EVERY - 2, F.pmod(draw, F.lit(10_000)) / 16)
+    text = F.when(kind == REAL_EVERY - 1, F.concat(F.lit("state"), F.pmod(draw, F.lit(12)).cast("string")))
+    bits = F.when(kind < REAL_EVERY - 2, bits)
+    return rows.select("stream_id", "t", (F.col("t") * streams + F.col("stream_id")).alias("seq"), bits.alias("bits"), real.alias("real"), text.alias("str"))
 
 
 def wide_design(spark: SparkSession, arrays: int = 4, elements: int = 250_000) -> DataFrame:
