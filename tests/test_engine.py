@@ -239,3 +239,160 @@ def test_synthetic(spark):
 
     rows = waveform(spark, 50, 100)
     assert rows.count() == rows.select("stream_id", "t").distinct().count() and wide_design(spark, 2, 10).count() == 22
+
+
+def test_append_to_a_store(spark, tmp_path):
+    """Streamed rows join those of a store that was written before; its range and checksums follow, and a batch that is
+    written twice counts once."""
+    from wavelark.streaming.ingest import append_to_store
+
+    db, _ = built(spark, lambda b: b.declare("clk", Scalar()), [(5, 0, "1")])
+    path = str(tmp_path / "store")
+    write_store(db, path)
+    schema = "stream_id int, t long, seq long, bits string, real double, str string"
+    for i in range(3):
+        spark.createDataFrame([(0, 20 + i, 10 + i, "01"[i % 2], None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for round in range(2):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        append_to_store(source, f"{path}/changes", str(tmp_path / f"c{round // 2}")).awaitTermination()
+        again = open_store(spark, path, verify=True)
+        assert [(r.t, r.bits) for r in again.rows.orderBy("t").collect()] == [(5, "1"), (20, "0"), (21, "1"), (22, "0")]
+        assert again.time_range() == TimeRange(5, 23)
+    spark.createDataFrame([(0, 1, 1, "1", None, None)], schema).write.mode("append").parquet(f"{path}/changes")
+    open_store(spark, path)
+    with pytest.raises(StoreError):
+        open_store(spark, path, verify=True)
+
+
+def test_held_changes_are_read(spark, tmp_path):
+    db, n = built(spark, lambda b: [b.declare(f"s{i}", Scalar()) for i in range(4)], [(t, t % 4, "01"[t % 3 % 2]) for t in range(40)])
+    plain = [[db.value_at(i, t) for t in (0, 7, 39)] for i in n]
+    assert db.cached_bytes() == 0 and db.prefetch([0, 1, 2]) == 30 and db.cached_bytes() > 0
+    rows, db.rows = db.rows, db.rows.limit(0)  # nothing but what is held can answer
+    assert [[db.value_at(i, t) for t in (0, 7, 39)] for i in n[:3]] == plain[:3] and db.value_at(n[3], 39) is None
+    assert db.changes(n[:3]).count() == 30 and db.next_change(n[1], 1) == 5
+    db.release(keep=[1])
+    assert db.value_at(n[1], 39) == plain[1][2] and db.value_at(n[0], 39) is None
+    db.release()
+    assert db.cached_bytes() == 0 and db.value_at(n[1], 39) is None
+    db.rows = rows
+    assert db.value_at(n[3], 39) == plain[3][2] and db.stream_count() == 4 and db.block_count(4) == 12
+
+
+def test_decimals_of_any_width(spark):
+    from wavelark.functions import logic
+
+    rng = random.Random(3)
+    bits = ["".join(rng.choice("01") for _ in range(n)) for n in (1, 29, 64, 126, 127, 127, 128, 144, 145, 174, 203, 512, 1000)]
+    bits += ["1" * n for n in (126, 127, 128, 290)] + ["1" + "0" * n for n in (126, 127, 300)] + ["0" * 200, "x" + "1" * 130, ""]
+    rows = spark.createDataFrame([(b,) for b in bits], "bits string").select("bits", logic.to_dec("bits").alias("plain"), logic.to_dec("bits", signed=True).alias("signed"), logic.to_string("bits", "dec").alias("text")).collect()
+    for r in rows:
+        known = r.bits and "x" not in r.bits
+        value = int(r.bits, 2) if known else None
+        assert r.plain == r.text == (str(value) if known else "x" if r.bits else "")
+        assert r.signed == (str(value - (1 << len(r.bits)) if r.bits[0] == "1" else value) if known else r.plain)
+
+
+def test_hot_stream_in_buckets(spark):
+    """A third of the rows, and more, are of one stream: cut by time, every verb gives what it gives uncut."""
+    rng = random.Random(8)
+    rows, t = [], [0] * 5
+    for seq in range(600):
+        s = 0 if seq % 3 else rng.randrange(5)
+        t[s] += rng.choice((0, 0, 1, 2, 40))
+        rows.append((s, t[s], seq, rng.choice("01x") + rng.choice("01")))
+    df = spark.createDataFrame(rows, "stream_id int, t long, seq long, bits string")
+    probes = spark.createDataFrame([(i, rng.randrange(5), rng.randrange(-5, 4000)) for i in range(150)], "probe long, stream_id int, t long")
+    slices = spark.createDataFrame([(f"{s}", s, 0, 1) for s in range(5)], "slice string, stream_id int, slice_offset int, slice_width int")
+    mixed_up = df.withColumn("t", df["t"] - df["seq"] % 7)
+    verbs = {
+        "as_of": lambda b: ops.as_of(df, probes, bucket=b), "following": lambda b: ops.following(df, probes, bucket=b), "held": lambda b: ops.held(df, bucket=b), "blocks": lambda b: ops.blocks(df, 7, bucket=b),
+        "slice_changes": lambda b: ops.slice_changes(df, slices, TimeRange(100, 3000), bucket=b), "slice_edges": lambda b: ops.slice_edges(df, slices, bucket=b), "unsorted": lambda b: ops.unsorted(mixed_up, bucket=b), "sub_block": lambda b: ops.sub_block(df, 3, 50, bucket=b),
+    }
+    for name, verb in verbs.items():
+        want, got = (verb(b) for b in (None, 16))
+        assert sorted(want.columns) == sorted(got.columns)
+        want, got = (sorted((repr(tuple(r[c] for c in sorted(want.columns))) for r in x.collect())) for x in (want, got))
+        assert want == got and want, name
+
+
+def test_order_of_merges(spark):
+    rows = [(s, t, 10 * t + s, "1") for s in range(3) for t in (0, 0, 5, 9) if t or s]
+    df = spark.createDataFrame([(s, t, i, b) for i, (s, t, _, b) in enumerate(rows)], "stream_id int, t long, seq long, bits string").repartition(4)
+    request = spark.createDataFrame([(0, 2), (1, 0), (2, 2)], "source int, stream_id int")
+    merged = ops.merged(df, request)
+    want = sorted((r.t, r.source, r.seq) for r in merged.collect())
+    assert [(r.t, r.source, r.seq) for r in ops.ordered(merged).collect()] == want
+    assert [(r.t, r.source, r.seq) for r in ops.numbered(merged, "ord").orderBy("ord").collect()] == want
+    assert sorted(r.ord for r in ops.numbered(merged, "ord").collect()) == list(range(len(want))) and ops.numbered(merged.limit(0), "ord").count() == 0
+
+
+def test_trees(spark):
+    from wavelark.operators.tree import scope_paths
+
+    schema = "scope_id int, parent_id int, name string, kind string, ord int"
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"s{i}", "module", 0) for i in range(12)], schema)
+    assert {r.scope_id: r.path for r in scope_paths(chain).collect()} == {i: ".".join(f"s{k}" for k in range(i + 1)) for i in range(12)}
+    looped = chain.union(spark.createDataFrame([(3, 11, "again", "module", 0)], schema))
+    with pytest.raises(Exception, match="cycle"):
+        scope_paths(looped).collect()
+
+
+class Shelf:
+    """A device of two streams, ten blocks each; it writes down what it is asked for."""
+
+    def __init__(self, options):
+        self.log = options["log"]
+
+    def blocks(self):
+        from wavelark.sources.blocks import Block
+
+        return [Block(s, 100 * k, 100 * k + 90, offset=1000 * s + k, cookie={"s": s}) for s in range(2) for k in range(10)]
+
+    def decode(self, block):
+        with open(self.log, "a") as log:
+            log.write(f"{block.offset}\n")
+        assert block.cookie["s"] == block.stream
+        for i in range(10):
+            yield block.t_begin + 10 * i, block.offset * 10 + i, str(i % 2), None, None
+
+
+def test_foreign_blocks(spark, tmp_path):
+    from wavelark.sources.blocks import BlockDataSource
+
+    spark.dataSource.register(BlockDataSource)
+    old = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda log: spark.read.format("blocks").option("device", "tests.test_engine:Shelf").option("log", str(tmp_path / log)).load()
+        assert read("all").count() == 200 and read("all").rdd.getNumPartitions() == 20
+        picked = read("some").filter("stream_id = 1 AND t >= 250 AND t < 420").collect()
+        assert sorted(r.t for r in picked) == list(range(250, 420, 10)) and {r.stream_id for r in picked} == {1}
+        assert sorted(map(int, (tmp_path / "some").read_text().split())) == [1002, 1003, 1004]
+        assert ops.snapshot(read("snap"), 305).orderBy("stream_id").select("t").collect() == [(300,), (300,)]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
+
+
+def test_bounded_ingestion(spark, monkeypatch):
+    from wavelark import builder
+
+    monkeypatch.setattr(builder, "BATCH", 50)
+    b = Builder(spark)
+    b.declare("clk", Scalar())
+    for t in range(175):
+        b.set_time(t)
+        b.value_change(0, "01"[t % 2])
+        assert len(b._rows) < 50
+    b.finish()
+    assert [(r.t, r.bits) for r in b.changes().orderBy("seq").collect()] == [(t, "01"[t % 2]) for t in range(175)]
+
+
+def test_wide_composite_in_one_job(spark):
+    db, node = built(spark, lambda b: b.declare("mem", Array(Vector(3, 0), 0, 299)), [(t, t % 300, "0001") for t in range(5, 400, 3)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("edges", "edges")
+    assert db.next_change(node, 6) == 8 and db.prev_change(node, 6) == 5
+    assert len(tracker.getJobIdsForGroup("edges")) < 30  # not one for each of the 300 leaves
+    assert db.value_at(node, 399)[5] == "0001" and db.find("top.mem[8]").has_own_stream and db.signal(node).is_composite and len(db.signal(node).leaf_streams()) == 300
+    assert db.root.signal(0) is None and db.root.scope(0).signal(0).id == node and db.root.scope(0).signal(1) is None
