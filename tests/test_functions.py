@@ -72,3 +72,26 @@ def test_types():
     for t in (packed, Array(packed, 0, 3), e, String(), None, Struct(packed.members, True, True)):
         assert from_json(to_json(t)) == t
     assert sv_text(Vector(7, 0)) == "logic [7:0]"
+
+
+def test_sql_names(spark):
+    """What SQL calls by name is what the column functions give."""
+    from pyspark.sql import functions as F
+
+    from wavelark.functions import logic
+
+    names = logic.register(spark)
+    rows = spark.createDataFrame([(b,) for b in ("", "0", "z", "x1", "zzz", "1010", "zzzz1x01", "110", "1" * 64, "1" * 65, "0xz" * 9)], "b string")
+    pairs = {
+        "logic_invert(b)": logic.invert("b"), "logic_normalize(b)": logic.normalize("b"), "logic_two_state(b)": logic.is_two_state("b"), "logic_aval(b)": logic.aval("b"), "logic_bval(b)": logic.bval("b"),
+        "logic_from_planes(logic_aval(b), logic_bval(b))": logic.from_planes(logic.aval("b"), logic.bval("b")), "logic_slice(b, 1, 3)": logic.slice_bits("b", 1, 3), "logic_get(b, 1)": logic.get("b", 1),
+        "logic_push(b, '1')": logic.push_back("b", F.lit("1")), "logic_pop(b)": logic.pop_back("b"), "logic_resize(b, 5, 'z')": logic.resize("b", 5, "z"),
+        "logic_uint64(b)": logic.to_uint64("b"), "logic_hex(b)": logic.to_hex("b"), "logic_oct(b)": logic.to_oct("b"), "logic_collapse9(b)": logic.collapse9("b"),
+    }
+    for sql, column in pairs.items():
+        got, want = rows.select(F.expr(sql).alias("r")).collect(), rows.select(column.alias("r")).collect()
+        assert got == want, sql
+    long = rows.filter("length(b) > 2")
+    for sql, column in {"logic_test(b, 1)": logic.test("b", 1), "logic_set(b, 2, '1')": logic.set_bit("b", 2), "logic_flip(b, 0)": logic.flip_bit("b", 0)}.items():
+        assert long.select(F.expr(sql).alias("r")).collect() == long.select(column.alias("r")).collect(), sql
+    assert len(names) == 18 == len(set(names))

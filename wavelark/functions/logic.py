@@ -250,11 +250,43 @@ def collapse9(bits: Bits) -> Column:
     return normalize(F.translate(_c(bits), "LlHhWwUu-", "0011xxxxx"))
 
 
+_NO_BIT = "CAST(raise_error(concat('no bit ', i)) AS STRING)"
+_SQL = {
+    "invert(b STRING)": "translate(b, '01z', '10x')",
+    "normalize(b STRING)": "regexp_replace(lower(b), '[^01z]', 'x')",
+    "two_state(b STRING)": "NOT (b RLIKE '[xz]')",
+    "aval(b STRING)": "translate(b, 'xz', '10')",
+    "bval(b STRING)": "translate(b, '01xz', '0011')",
+    "from_planes(a STRING, b STRING)": "array_join(zip_with(split(a, ''), split(b, ''), (x, y) -> CASE WHEN y = '0' THEN x WHEN x = '1' THEN 'x' ELSE 'z' END), '')",
+    "slice(b STRING, o INT, n INT)": "substr(lpad(b, greatest(length(b), o + n), 'x'), greatest(length(b), o + n) - o - n + 1, n)",
+    "get(b STRING, i INT)": "CASE WHEN i >= 0 AND i < length(b) THEN substr(b, length(b) - i, 1) ELSE 'x' END",
+    "test(b STRING, i INT)": f"CASE WHEN i >= 0 AND i < length(b) THEN substr(b, length(b) - i, 1) ELSE {_NO_BIT} END",
+    "set(b STRING, i INT, v STRING)": f"CASE WHEN i >= 0 AND i < length(b) THEN concat(left(b, length(b) - i - 1), v, right(b, i)) ELSE {_NO_BIT} END",
+    "flip(b STRING, i INT)": f"CASE WHEN i >= 0 AND i < length(b) THEN concat(left(b, length(b) - i - 1), translate(substr(b, length(b) - i, 1), '01z', '10x'), right(b, i)) ELSE {_NO_BIT} END",
+    "push(b STRING, v STRING)": "concat(v, b)",
+    "pop(b STRING)": "substr(b, 2)",
+    "resize(b STRING, n INT, f STRING)": "right(lpad(b, greatest(n, length(b)), f), n)",
+    "uint64(b STRING)": "CASE WHEN length(b) > 64 OR b RLIKE '[xz]' THEN NULL WHEN b = '' THEN 0 ELSE CAST(conv(b, 2, 10) AS DECIMAL(20, 0)) END",
+    "hex(b STRING)": "",
+    "oct(b STRING)": "",
+    "collapse9(b STRING)": "regexp_replace(lower(translate(b, 'LlHhWwUu-', '0011xxxxx')), '[^01z]', 'x')",
+}
+
+
+def _digits_body(k: int) -> str:
+    """Groups of k bits from the right, as _digits has them."""
+    own = f"substr(b, greatest(1, length(b) - {k} * (n - i) + 1), least({k}, length(b) - {k} * (n - i - 1)))"
+    digit = lambda g: f"CASE WHEN NOT ({g} RLIKE '[xz]') THEN lower(conv({g}, 2, 16)) WHEN NOT ({g} RLIKE '[^z]') THEN 'z' ELSE 'x' END"
+    count = f"CAST(ceil(length(b) / {k}) AS INT)"
+    return f"CASE WHEN b = '' THEN '' ELSE array_join(transform(sequence(0, {count} - 1), i -> {digit(own.replace('n - i', f'{count} - i'))}), '') END"
+
+
 def register(spark: SparkSession) -> list[str]:
-    """SQL functions of the most used: logic_hex(bits), logic_slice(bits, offset, count) and so on."""
-    one = {"invert": "translate(b, '01z', '10x')", "normalize": "regexp_replace(lower(b), '[^01z]', 'x')", "two_state": "NOT (b RLIKE '[xz]')", "aval": "translate(b, 'xz', '10')", "bval": "translate(b, '01xz', '0011')"}
-    for name, body in one.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION logic_{name}(b STRING) RETURN {body}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION logic_slice(b STRING, o INT, n INT) RETURN substr(lpad(b, greatest(length(b), o + n), 'x'), greatest(length(b), o + n) - o - n + 1, n)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION logic_get(b STRING, i INT) RETURN CASE WHEN i >= 0 AND i < length(b) THEN substr(b, length(b) - i, 1) ELSE 'x' END")
-    return [f"logic_{x}" for x in (*one, "slice", "get")]
+    """SQL functions of the most used: logic_hex(bits), logic_slice(bits, offset, count) and so on; their names."""
+    names = []
+    for head, body in _SQL.items():
+        name = head.partition("(")[0]
+        body = body or _digits_body({"hex": 4, "oct": 3}[name])
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION logic_{head} RETURN {body}")
+        names.append(f"logic_{name}")
+    return names

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import pairwise
+
+import regex
 
 from .errors import WaveError
 from .types import Type
@@ -38,14 +41,13 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+#: A bracket with all that is in it, up to its end or that of the path; or a dot outside of any.
+_TOKEN = regex.compile(r"(\[(?:[^\[\]]|(?1))*+(?:\]|$))|\.")
+
+
 def _segments(path: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(path):
-        if c == "." and not depth:
-            out.append(path[start:i])
-            start = i + 1
-        depth = max(0, depth + (c == "[") - (c == "]"))
-    return [*out, path[start:]]
+    dots = [m.start() for m in _TOKEN.finditer(path) if m[0] == "."]
+    return [path[a + 1 : b] for a, b in pairwise([-1, *dots, len(path)])]
 
 
 def _indices(text: str) -> list[str]:
