@@ -103,7 +103,9 @@ def edited(docs: DataFrame) -> DataFrame:
     begins = [first for first, _ in ranges]
     guests = [(i, x["doc_id"], x["tie"]) for i, x in enumerate(begins[1:] + begins[:1])]
     guests = docs.sparkSession.createDataFrame(guests, f"range int, guest_id {kind}, guest_tie bigint")
-    found = rows.join(guests, rows["doc_id"].eqNullSafe(guests["guest_id"]) & (rows["tie"] == guests["guest_tie"]))
+    # as many as there are ranges, which no table makes more
+    guests = F.broadcast(guests)
+    found = rows.join(guests, rows["doc_id"].eqNullSafe(F.col("guest_id")) & (F.col("tie") == F.col("guest_tie")))
     found = found.select("range", "doc_id", "text", "tie").dropDuplicates(["range"]).withColumn("guest", F.lit(1))
     own = rows.select(_range_of([last for _, last in ranges], kind).alias("range"), "doc_id", "text", "tie", F.lit(0).alias("guest"))
     both = with_fingerprint(own.unionByName(found).repartition("range"), "text", "own")
