@@ -401,12 +401,18 @@ def test_bpe(odd, empty, docs):
         for r in df.collect():
             ids = plain.encode_ordinary(r.text or "")
             expected.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode())))
-        both(map(tuple, bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()), expected)
+        for cut in (False, True):
+            both(map(tuple, bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cut).collect()), expected)
     assert bpe.digests(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     own = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list(" \n\t\x01\x1c\x85ab1.'sé"), rng.integers(0, 30))) for _ in range(500)] + ["ab" * 300]
     assert [x[0].tolist() for x in own.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+    cut = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, True)
+    assert [x[0].tolist() for x in cut.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+    across = r"[a-z]+ [a-z]+|."  # matches reach across blanks: texts may not be cut there
+    spaced = tiktoken.Encoding("spaced", pat_str=across, mergeable_ranks=ranks, special_tokens={})
+    assert [x[0].tolist() for x in bpe.Encoder(P.path("byte_bpe_50k.tiktoken"), across).encode(texts[:50] + ["of the of the end"])] == [spaced.encode_ordinary(t) for t in texts[:50] + ["of the of the end"]]
 
 
 def test_long_matches(monkeypatch):

@@ -1,6 +1,7 @@
 """Byte-level BPE by recursive DuckDB queries in each partition.
 
-The matches of the split pattern are found in every text; of each block of distinct matches, DuckDB holds rows (word,
+The matches of the split pattern are found in every text (in pieces of it, where the caller knows that no match reaches
+across blanks: see ``Encoder``); of each block of distinct matches, DuckDB holds rows (word,
 position, token), joins neighbours with the table of merges and contracts, in every round of a recursive query, each
 word's leftmost pair of minimum rank, until no pair of any word is left. Another query puts the bytes of every word's
 tokens together again in order. Documents are then read off the words they consist of; nothing is shuffled.
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 128
-#: Distinct words contracted by one query.
+#: Distinct words contracted by one query, and the sum of the squares of their bytes, which the rounds' rows grow with;
+#: both keep the query within its memory, as it may not spill to a folder of the machine.
 BLOCK = 20_000
+SQUARES = 20_000_000
 #: Bytes of text taken together, and distinct pieces remembered.
 BATCH = 4 << 20
 VOCABULARY = 600_000
@@ -99,10 +102,14 @@ class Ragged:
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str):
+    """cut: a text may be cut before each blank or line end that follows something else than white space, since no match of
+    the pattern reaches across; true of patterns in which white space stands only at the head of a match, or alone."""
+
+    def __init__(self, path: str, pattern: str, cut: bool = False):
         import duckdb
         import regex
 
+        self.cut = cut
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.pieces = regex.compile(r"\s*\S+|\s+").findall
@@ -110,7 +117,7 @@ class Encoder:
         self.lengths = np.zeros(max(self.bytes) + 1, np.int64)
         self.lengths[list(self.bytes)] = list(map(len, self.bytes.values()))
         self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(self.ranks[b[:k]], self.ranks[b[k:]], t) for b, t in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
         l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._table("merges", pa.table({"l": l, "r": r, "rank": rank}))
@@ -141,8 +148,10 @@ class Encoder:
             else:
                 pending.append(i)
         places, found = [np.repeat(list(own), list(map(len, own.values())))], [np.array([t for ids in own.values() for t in ids], np.uint32)]
-        for a in range(0, len(pending), BLOCK):
-            some = np.array(pending[a : a + BLOCK])
+        squares = np.cumsum([len(words[i]) ** 2 for i in pending]) // SQUARES
+        places_of = np.arange(len(pending)) // BLOCK
+        edges = np.flatnonzero((np.diff(squares) != 0) | (np.diff(places_of) != 0)) + 1 if pending else []
+        for some in np.split(np.array(pending, np.int64), edges) if pending else ():
             joined = np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)
             sizes = np.array([len(words[i]) for i in some.tolist()])
             w = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
@@ -179,12 +188,14 @@ class Encoder:
         self.open = np.concatenate([self.open, np.fromiter((x[-1:].isspace() for x in pieces), bool, len(pieces))])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids, and the bytes that they decode to.
-
-        A text is cut before each blank or line end that follows something else than white space, where no match of
-        the pattern can reach across."""
-        if len(self.place) > VOCABULARY:
+        """For each text its ids, and the bytes that they decode to."""
+        if len(self.place) > VOCABULARY or not self.cut and len(self.words) > VOCABULARY:
             self._forget()
+        if not self.cut:
+            self.place, self.parts, self.open = {}, Ragged(np.int64), np.zeros(0, bool)
+            whole = [t or "" for t in texts]
+            self._learn(list(set(whole)))
+            return self._read([[t] for t in whole])
         cut = [(t or "").replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01") if "\x01" not in (t or "") else self.pieces(t) for t in texts]
         self._learn(list(set().union(*cut).difference(self.place)))
         # a text that was cut after white space is cut anew
@@ -196,11 +207,13 @@ class Encoder:
             for k in again:
                 cut[k] = self.pieces(texts[k])
             self._learn(list(set().union(*(cut[k] for k in again)).difference(self.place)))
-            codes, ends = self._codes(cut)
-        words, ends = self.parts.take(codes, ends)
+        return self._read(cut)
+
+    def _read(self, cut: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, ends = self.parts.take(*self._codes(cut))
         ids, id_ends = self.ids.take(words, ends)
         plain, plain_ends = self.plain.take(words, ends)
-        return zip(np.split(ids, id_ends[:-1]), np.split(plain, plain_ends[:-1]), strict=True) if len(texts) else iter(())
+        return zip(np.split(ids, id_ends[:-1]), np.split(plain, plain_ends[:-1]), strict=True) if len(cut) else iter(())
 
     def _codes(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
@@ -208,14 +221,14 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, cut: bool = False) -> Encoder:
     """The worker's own encoder, kept from task to task."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, cut)
 
 
-def _runner(path: str, pattern: str):
+def _runner(path: str, pattern: str, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, cut)
         for batch in batches:
             sizes = np.cumsum(batch.column("size").to_numpy()) // BATCH
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
@@ -228,8 +241,8 @@ def _runner(path: str, pattern: str):
     return run
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the text decoded from them, of every document."""
+def digests(docs: DataFrame, path: str, pattern: str, cut: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the text decoded from them, of every document. cut: see Encoder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("size"))
-    return rows.mapInArrow(_runner(path, pattern), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_runner(path, pattern, cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

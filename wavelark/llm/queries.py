@@ -50,7 +50,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN, path
 
-    return bpe.digests(documents(spark, sf_dir), path("byte_bpe_50k.tiktoken"), PATTERN)
+    return bpe.digests(documents(spark, sf_dir), path("byte_bpe_50k.tiktoken"), PATTERN, cut=True)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
