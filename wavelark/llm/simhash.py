@@ -213,18 +213,18 @@ def _salted(prints: DataFrame, found: DataFrame) -> DataFrame:
     return prints.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALT)).cast("int")).join(found, ["__fingerprint", "__salt"])
 
 
-def _fingerprinted(docs: DataFrame) -> DataFrame:
-    """A table of doc_id, fingerprint, tie, number of the row, and the row itself (__whole)."""
+def _fingerprinted(docs: DataFrame, whole: bool) -> DataFrame:
+    """A table of doc_id, fingerprint, number of the row and, if asked for, the row itself (__whole)."""
     rows = docs.select(F.struct("*").alias("__whole"), "doc_id", F.col("text").cast("string").alias("__text"))
-    names = ["__whole", "doc_id"]
+    names = ["__whole", "doc_id"] if whole else ["doc_id"]
     schema = StructType([rows.schema[c] for c in names]).add("__fingerprint", LongType())
-    tied = rows.mapInArrow(_fingerprints(names), schema).withColumn("__row", F.monotonically_increasing_id())
-    return common.written(tied, "simhash")
+    found = rows.select(*names, "__text").mapInArrow(_fingerprints(names), schema)
+    return common.written(found.withColumn("__row", F.monotonically_increasing_id()), "simhash")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every document."""
-    prints = _fingerprinted(docs.select("doc_id", "text")).select("doc_id", "__fingerprint", "__row")
+    prints = _fingerprinted(docs.select("doc_id", "text"), False)
     found = _salted(prints, _components(prints).select("__fingerprint", "component_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -232,7 +232,7 @@ def clusters(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The document of least id of each component, its columns unchanged; of rows with that very id, the one whose text
     has the least hash."""
-    rows = _fingerprinted(docs)
+    rows = _fingerprinted(docs, True)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("__whole.text").alias("tie"), "__row")
     # one row for each fingerprint before any join
     small = rows.groupBy("__fingerprint").agg(F.min(order).alias("first"))
