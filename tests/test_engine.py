@@ -396,3 +396,14 @@ def test_wide_composite_in_one_job(spark):
     assert len(tracker.getJobIdsForGroup("edges")) < 30  # not one for each of the 300 leaves
     assert db.value_at(node, 399)[5] == "0001" and db.find("top.mem[8]").has_own_stream and db.signal(node).is_composite and len(db.signal(node).leaf_streams()) == 300
     assert db.root.signal(0) is None and db.root.scope(0).signal(0).id == node and db.root.scope(0).signal(1) is None
+
+
+def test_hot_time(spark):
+    """A third of the changes are at one time: its header is on the row of least source and seq, and each time has one."""
+    from wavelark.sources.export import change_lines
+
+    rows = [(s, 0, s + 100, "1") for s in range(100)] + [(s, 1 + s % 50 + k, 1000 * k + s, "0") for s in range(100) for k in (0, 60)]
+    lines = change_lines(spark.createDataFrame(rows, "source int, t long, seq long, bits string")).collect()
+    heads = {r.t: (r.source, r.seq) for r in lines if r.header is not None}
+    assert len(lines) == 300 and sum(r.header is not None for r in lines) == len(heads)
+    assert heads == {t: min((s, q) for s, u, q, _ in rows if u == t) for t in {r[1] for r in rows}} and all(r.header in (None, f"#{r.t}") for r in lines)
