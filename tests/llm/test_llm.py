@@ -236,6 +236,17 @@ def test_chat(spark):
     assert chat.formatted(chat.answered_by_neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_without_ids(spark):
+    """A third of the turns have no conversation, another third are one long one; empty and long texts."""
+    long = "word " * 20_000
+    rows = [(None, i, "assistant", "q" if i % 2 else "") for i in range(100)] + [(8, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(100)] + [(9, 0, "user", long), (9, 1, "assistant", "")]
+    out = chat.formatted(chat.answered_by_neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    alone, (hot,), (other,) = ([r for r in out if r.conv_id == i] for i in (None, 8, 9))
+    assert len(alone) == 100 and all(r.prompt_turns == 0 and r.rejected_completion == "" and len(r.chosen_spans) == 1 for r in alone)
+    assert hot.prompt_turns == 99 and hot.chosen_completion == "<|assistant|>\nturn 99<|end|>\n" and hot.rejected_completion == "<|assistant|>\n<|end|>\n"
+    assert other.prompt == f"<|user|>\n{long}<|end|>\n" and [other.rejected_completion[s.start : s.end] for s in other.rejected_spans] == ["turn 99<|end|>\n"]
+
+
 # language
 
 
