@@ -195,8 +195,8 @@ def _limbs_text(bits: Column, add: Column) -> Column:
     def times(limbs: Column, factor: int, plus: Column) -> Column:
         begin = F.struct(plus.alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
         value = lambda s, x: x * factor + s["carry"]
-        end = F.aggregate(limbs, begin, lambda s, x: F.struct(_divided(value(s, x), base).alias("carry"), F.concat(s["limbs"], F.array(value(s, x) % base)).alias("limbs")))
-        return F.when(end["carry"] > 0, F.concat(end["limbs"], F.array(end["carry"]))).otherwise(end["limbs"])
+        step = lambda s, x: F.struct(_divided(value(s, x), base).alias("carry"), F.concat(s["limbs"], F.array(value(s, x) % base)).alias("limbs"))
+        return F.aggregate(limbs, begin, step, lambda s: F.concat(s["limbs"], F.array(s["carry"])))
 
     none = F.array(F.lit(0).cast("bigint"))
     limbs = F.aggregate(F.sequence(F.lit(0), size - 1), none, lambda s, i: times(s, 1 << _CHUNK, chunk(i)))
@@ -206,8 +206,8 @@ def _limbs_text(bits: Column, add: Column) -> Column:
 
 
 def _divided(x: Column, by: int) -> Column:
-    """Whole quotient of numbers that are not negative: decimals divide exactly where doubles would not."""
-    return ((x - x % by).cast("decimal(20,0)") / F.lit(by).cast("decimal(10,0)")).cast("bigint")
+    """Whole quotient of numbers that are not negative: below 10^9, so the nearest double of it is off by less than a half."""
+    return F.rint((x - x % by) / by).cast("bigint")
 
 
 def to_dec(bits: Bits, signed: bool = False) -> Column:
