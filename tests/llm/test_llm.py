@@ -659,6 +659,65 @@ def test_near_copies_of_a_hot_text(spark, monkeypatch):
     assert kept == {0} | {i for i in range(300) if i % 3}
 
 
+def test_near_copies_whose_leader_is_not_like_them(spark):
+    """Many edits of one text, less than 0.8 like each other, and of some a further edit that is just 0.8 like that one alone:
+    all those pairs are found, as by brute force."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+
+    def edited(text, n):
+        out = list(text)
+        for at in rng.choice(np.arange(5, 395, 10), n, replace=False):
+            out[at + int(rng.integers(0, 5))] = f"edit{len(rows)}x{at}"
+        return out
+
+    for i in range(80):
+        one = edited(base, 7)
+        rows.append((len(rows), " ".join(one)))
+        if i % 2:
+            rows.append((len(rows), " ".join(edited(one, 8))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_near(df.collect())
+    assert 0 < len(rows) - len(expected) <= 40
+    assert {r.doc_id for r in similar.keep(df).collect()} == expected
+
+
+@pytest.mark.parametrize("split", (16, similar.SPLIT))
+def test_rare_shingles_lose_no_pair(spark, monkeypatch, split):
+    """Where nothing is joined yet, every pair that is alike meets: in large meetings, dealt or not, and beside a common passage."""
+    monkeypatch.setattr(similar, "SPLIT", split)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    hot, passage, texts = rng.choice(words, 300).tolist(), rng.choice(words, 60).tolist(), []
+    for i in range(200):
+        own = list(hot) if i % 2 else passage + rng.choice(words, int(rng.integers(5, 80))).tolist()
+        for at in rng.integers(0, len(own), int(rng.integers(0, 9))):
+            own[at] = f"edit{int(rng.integers(0, 40))}"
+        texts.append(" ".join(own[int(rng.integers(0, 9)) :]))
+    rows = similar.described(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {r.row: r.doc_id for r in rows.select("row", "doc_id").collect()}
+    pairs = [tuple(sorted((ids[r.a], ids[r.b]))) for r in similar._rest(rows.withColumn("label", F.col("row")), similar.SIMILARITY).collect()]
+    sets = word_sets(texts)
+    alike = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similar.SIMILARITY}
+    assert len(alike) > 200 and alike <= set(pairs) and len(pairs) == len(set(pairs))
+
+
+@pytest.mark.parametrize("n", (1, 4, 5, 10, 15, 64))
+def test_rare_shingles_at_the_threshold(n):
+    """However many shingles, common ones or not: sets that are just 0.8 alike share a rare one; parities never overstate."""
+    rng = np.random.default_rng(n)
+    for _ in range(50):
+        pool = np.unique(rng.integers(0, 1 << 63, 4 * n, np.uint64))
+        known = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+        often = known, rng.integers(3, 9, len(known))
+        whole = np.sort(rng.choice(pool, n, replace=False))
+        part = np.sort(rng.choice(whole, math.ceil(n * 4 / 5), replace=False))
+        assert np.isin(similar.rare(part, often, 0.8), similar.rare(whole, often, 0.8)).any()
+        bits = [np.frombuffer(similar.parities(x), np.uint8) for x in (whole, part)]
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(whole) - len(part)
+
+
 def test_hot_fingerprint(spark):
     rows = [(i if i % 2 else None, "the very same words" if i % 3 == 0 else f"text number {i} of many") for i in range(600)]
     found = simhash.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
